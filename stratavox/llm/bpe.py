@@ -17,14 +17,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Characters of one run of texts, and remembered chunks after which a task forgets them all.
-RUN_CHARS = 8 << 20
-MEMORY_CHUNKS = 600_000
+RUN_CHARS = 3 << 20
+MEMORY_CHUNKS = 150_000
 
 # Fixed values of the tokenizer's format: its pattern for lower-case ASCII, and white space that str.split() knows but \s does not.
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -260,6 +261,17 @@ def runs(texts: list[str], limit: int = RUN_CHARS) -> Iterator[list[str]]:
         yield run
 
 
+def text_runs(column: pa.Array, limit: int = RUN_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of about ``limit`` bytes, made into strings one run at a time; a null is empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, row = np.cumsum(sizes, dtype=np.int64), 0
+    while row < len(ends):
+        done = ends[row - 1] if row else 0
+        end = min(len(ends), max(row + 1, int(np.searchsorted(ends, done + limit, "right"))))
+        yield row, [x or "" for x in column.slice(row, end - row).to_pylist()]
+        row = end
+
+
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     if name in batch.schema.names:
         return batch.set_column(batch.schema.get_field_index(name), name, column)
@@ -282,12 +294,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
         for batch in batches:
-            row = 0
-            for texts in runs([x or "" for x in batch.column(text).to_pylist()]):
+            for row, texts in text_runs(batch.column(text)):
                 values, bounds = encoder.encode(texts)
                 made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
                 yield _with(batch.slice(row, len(texts)), ids, made)
-                row += len(texts)
 
     return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType())))
 
