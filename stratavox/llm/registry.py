@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import bpe
+from stratavox.llm import bpe, extract, langid, quality, secrets, urls
 from stratavox.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,73 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("token_ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures, the contract's base verdict, and the cascade's."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.cascade(docs).drop("text")
+    judged = judged.withColumn("base_failed", F.expr(f"({quality.RULES['few_words']}) OR ({quality.RULES['repeated_passages']})"))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("kept"))
+
+
+@query
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, deciding rule and verdict."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE_SQL["op6_urls"] = r"""
+WITH p AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages),
+rules(verdict, h, pre) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best AS (
+    SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(verdict, length(h || pre)) AS verdict
+    FROM p JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, pre) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches('.' || host || path,
+    '^([^/]*\.adult-|[^/]*casino|[^/]*-pills\.|[^/]*\.free-bets\.|[^/]*\.spam-|[^/]*\.ads-|[^/]*\.adserver\.|[^/]*\.porn|[^/]*\.xxx/)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best USING (page_id)
+"""
+
+
+@query
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extract.extract(pages).drop("html")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by a model that saw no held-out document."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_rows(docs))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts and digest of the base spans, and all spans."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = secrets.train(secrets.training_sample(docs))
+    found = secrets.scan(docs, ratios)
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
