@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, quality, secrets, urls
+from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, licences, quality, quotes, secrets, urls
 from stratavox.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component under a Jaccard coefficient of 0.9 on 3-word shingles."""
     return jaccard.join_components(read_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with the message it answers, ordered so that replies follow what they answer."""
+    return quotes.link(read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licences: the best match, its coefficient, and all that were found."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs).drop("text")
+    return found.select("doc_id", "licence", F.round("dice", 6).alias("dice"), "n_matches", F.array_join("licences", ",").alias("licences"))
