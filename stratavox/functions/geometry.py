@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -129,25 +129,29 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
-def smallest_eigenvector(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Vec:
-    """The eigenvector of a symmetric 3 x 3 matrix for its smallest eigenvalue, by the trigonometric solution.
+def with_smallest_eigenvector(df: DataFrame, cov: list[Column], out: list[str]) -> DataFrame:
+    """Add the eigenvector of symmetric 3 x 3 matrices (xx, xy, xz, yy, yz, zz) for the smallest eigenvalue, as columns ``out``.
 
-    Of the cross products of two rows of (matrix - eigenvalue) the longest; NaN
-    where all are zero, as for a matrix with a repeated smallest eigenvalue.
+    By the trigonometric solution, in steps of one column each, as each step is
+    read many times. The eigenvector is the longest cross product of two rows of
+    (matrix - eigenvalue); NaN where all are zero, as for a repeated smallest eigenvalue.
     """
-    q = (xx + yy + zz) / 3
-    p2 = (xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy**2 + xz**2 + yz**2)
-    p = F.sqrt(p2 / 6)
-    a, b, c = (xx - q) / p, (yy - q) / p, (zz - q) / p
-    d, e, f = xy / p, xz / p, yz / p
-    half = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
-    low = q + 2 * p * F.cos(F.acos(clamp(half, 1.0)) / 3 + 2 * math.pi / 3)
+    xx, xy, xz, yy, yz, zz = (F.col(f"_{n}") for n in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    df = df.withColumns({f"_{n}": c for n, c in zip(("xx", "xy", "xz", "yy", "yz", "zz"), cov, strict=True)})
+    df = df.withColumn("_q", (xx + yy + zz) / 3)
+    q, p, low = F.col("_q"), F.col("_p"), F.col("_low")
+    df = df.withColumn("_p", F.sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy**2 + xz**2 + yz**2)) / 6))
+    a, b, c = xx - q, yy - q, zz - q
+    half = (a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)) / (2 * p * p * p)
+    df = df.withColumn("_half", F.when(p > 0, clamp(half, 1.0)))
+    df = df.withColumn("_low", q + 2 * p * F.cos(F.acos("_half") / 3 + 2 * math.pi / 3))
     rows: list[Vec] = [(xx - low, xy, xz), (xy, yy - low, yz), (xz, yz, zz - low)]
     made = [cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2])]
-    sizes = [dot(x, x) for x in made]
-    best = F.greatest(*sizes)
-    pick = [F.when(sizes[0] == best, made[0][i]).when(sizes[1] == best, made[1][i]).otherwise(made[2][i]) for i in range(3)]
-    return normalised(tuple(pick))  # type: ignore[arg-type]
+    df = df.withColumn("_crosses", F.array(*[F.struct(dot(v, v).alias("size"), *[x.alias(n) for x, n in zip(v, "xyz", strict=True)]) for v in made]))
+    df = df.withColumn("_best", F.array_max("_crosses"))
+    size = F.sqrt("_best.size")
+    unit = {n: F.when(size > 0, F.col(f"_best.{c}") / size).otherwise(float("nan")) for n, c in zip(out, "xyz", strict=True)}
+    return df.withColumns(unit).drop("_xx", "_xy", "_xz", "_yy", "_yz", "_zz", "_q", "_p", "_half", "_low", "_crosses", "_best")
 
 
 def so3_exp(x: Column, y: Column, z: Column) -> list[list[Column]]:

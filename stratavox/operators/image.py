@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.functions.geometry import cross, dot, normalised, smallest_eigenvector, sub, unproject
+from stratavox.functions.geometry import cross, dot, normalised, sub, unproject, vec, with_smallest_eigenvector
 
 NAN = float("nan")
 
@@ -70,7 +70,8 @@ def cross_normals(pixels: DataFrame, intrinsics: tuple[float, float, float, floa
     names = {(0, 1): "r", (0, -1): "l", (1, 0): "d", (-1, 0): "t", (0, 0): "c"}
     m = rows.groupBy("frame_id", "v", "u").agg(*[at(*k, c).alias(n + c) for k, n in names.items() for c in "xyz"])
     p = {n: tuple(F.col(n + c) for c in "xyz") for n in names.values()}
-    n = normalised(cross(sub(p["r"], p["l"]), sub(p["d"], p["t"])))  # type: ignore[arg-type]
+    m = m.withColumns({f"e{c}": x for x, c in zip(cross(sub(p["r"], p["l"]), sub(p["d"], p["t"])), "xyz", strict=True)})  # type: ignore[arg-type]
+    n = normalised(vec("ex", "ey", "ez"))
     flip = F.when(dot(n, p["c"]) > 0, -1.0).otherwise(1.0)  # type: ignore[arg-type]
     made = [F.coalesce(flip * x, F.lit(NAN)).alias(f"n{c}") for x, c in zip(n, "xyz", strict=True)]
     return m.where("cx IS NOT NULL").select("frame_id", "v", "u", *made)
@@ -86,7 +87,8 @@ def pca_normals(pixels: DataFrame, intrinsics: tuple[float, float, float, float]
     two = ("xx", "xy", "xz", "yy", "yz", "zz")
     m = rows.groupBy("frame_id", "v", "u", "cx", "cy", "cz").agg(F.count("*").alias("n"), *[F.sum(d[c]).alias(f"s{c}") for c in "xyz"], *[F.sum(d[a] * d[b]).alias(f"s{a}{b}") for a, b in two])
     cov = [F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("n") for a, b in two]
-    n = smallest_eigenvector(*cov)
+    m = with_smallest_eigenvector(m, cov, ["ex", "ey", "ez"])
+    n = vec("ex", "ey", "ez")
     flip = F.when(dot(n, (F.col("cx"), F.col("cy"), F.col("cz"))) > 0, -1.0).otherwise(1.0)
     return m.select("frame_id", "v", "u", "n", *[F.when(F.col("n") >= least, flip * x).otherwise(NAN).alias(f"n{c}") for x, c in zip(n, "xyz", strict=True)])
 

@@ -7,7 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratavox.functions.geometry import dot, smallest_eigenvector, sub, vec
+from stratavox.functions.geometry import dot, sub, vec, with_smallest_eigenvector
+from stratavox.sources.shared import settle
 
 _AXES = "xyz"
 
@@ -55,11 +56,11 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float, grow
     left = queries.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z")))
     for _ in range(rounds):
         ranked = near_pairs(left, points, radius).withColumn("rank", rank).where(F.col("rank") <= k)
-        ranked = ranked.select("qid", "pid", "d2", "rank")
+        ranked = settle(ranked.select("qid", "pid", "d2", "rank"), "nearest")
         full = ranked.where(F.col("rank") == k).select("qid")
         found = found.unionByName(ranked.join(full, "qid", "left_semi"))
-        left = left.join(full, "qid", "left_anti")
-        if not left.head(1):
+        left = settle(left.join(full, "qid", "left_anti"), "queries")
+        if left.isEmpty():
             break
         radius *= grow
     return found
@@ -95,7 +96,8 @@ def estimate_normals(points: DataFrame, neighbours: int, radius: float, camera:
     squares = [F.sum(d[a] * d[b]).alias(f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
     m = near.groupBy("qid").agg(F.count("*").alias("n"), *sums, *squares)
     cov = [F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("n") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    normal = smallest_eigenvector(*cov)
+    m = with_smallest_eigenvector(m, cov, ["ex", "ey", "ez"])
+    normal = vec("ex", "ey", "ez")
     rows = points.select("pid", *_AXES).join(m.withColumnRenamed("qid", "pid"), "pid", "left")
     away = dot(normal, tuple(F.col(c) - v for c, v in zip(_AXES, camera, strict=True)))  # type: ignore[arg-type]
     nan = F.lit(float("nan"))
