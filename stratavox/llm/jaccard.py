@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.llm.components import components
@@ -32,6 +32,8 @@ from stratavox.llm.words import SPACE_WORDS, pieces, shingle_sets, word_hashes,
 SKETCH_BITS, SKETCH_PARTS = 18, 64
 #: Documents of one group at most; a larger set of like documents becomes several groups.
 GROUP = 64
+#: Ids of documents (8 bytes each) that are broadcast at most.
+FEW_IDS = 200_000
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -105,7 +107,9 @@ def _set_table(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([one.tobytes() for one in _sets(batch.column(1), n)], pa.binary())], ["doc", "set"])
 
-    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(ids, "doc", "leftsemi")
+    # Few ids go to where the texts are; more than FEW_IDS are joined by a shuffle.
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "leftsemi")
     return settle(rows.mapInArrow(run, "doc long, set binary"), "sets")
 
 
@@ -134,11 +138,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(run, "a long, b long")
 
 
-def _compatible(a: Column, b: Column, percent: int) -> Column:
-    """Whether two sizes allow the coefficient at all."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def _between_groups(docs: DataFrame, postings: DataFrame, tested: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:
     """Links between documents of different components, through the token-group matrix; None if no group qualifies by its tokens."""
     known = labels.select(F.col("node").alias("doc"), "component")
@@ -209,20 +208,20 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = profiles.where("size > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"))
     classes = settle(classes, "classes")
     firsts = profiles.join(classes, profiles["doc_id"] == classes["doc"], "leftsemi").select(F.col("doc_id").alias("doc"), "size", F.explode("rare").alias("token"))
-    # Sizes of one class can reach the coefficient with each other.
+    # A shingle that only one class lists leads nowhere: few rows are left for all that follows.
+    often = firsts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    # Sizes of one level can reach the coefficient with each other.
     step = math.log(100 / percent) if percent < 100 else 1e-12
-    postings = firsts.withColumn("level", F.floor(F.log(F.col("size")) / step))
-    leaders = postings.groupBy("token", "level").agg(F.min(F.struct("doc", "size")).alias("leader"), F.count("*").alias("n")).where("n > 1")
-    star = postings.join(leaders, ["token", "level"]).where(F.col("doc") != F.col("leader.doc"))
-    star = star.where(_compatible(F.col("size"), F.col("leader.size"), percent))
-    tested = settle(star.select(F.col("leader.doc").alias("a"), F.col("doc").alias("b")).distinct(), "star")
+    postings = settle(firsts.join(often, "token", "leftsemi").withColumn("level", F.floor(F.log(F.col("size")) / step)), "postings")
+    leaders = postings.groupBy("token", "level").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = postings.join(leaders, ["token", "level"]).where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    tested = settle(star.distinct(), "star")
     ends = tested.select(F.col("a").alias("doc")).unionByName(tested.select(F.col("b").alias("doc"))).distinct()
     sets = _set_table(docs, ends, n)
     links = settle(_linked(tested, sets, percent), "linked")
     forget(sets)
     labels = settle(components(links), "labels")
-    often = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    more = _between_groups(docs, postings.join(often, "token", "leftsemi"), tested, labels, n, percent)
+    more = _between_groups(docs, postings, tested, labels, n, percent)
     if more is not None and not more.isEmpty():
         labels = settle(components(links.unionByName(more)), "labels")
     found = profiles.select("doc_id", "size", "digest").join(classes, "digest", "left")
