@@ -1,0 +1,426 @@
+"""The numbered operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, licences, quality, quotes, secrets, urls
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TRICKY = [None, "", " \n\t", "a", "Ünïcödé ß İ ΑΣ", "x " * 5000, "\x1c\x1d y\x1fz \x85", "<|endoftext|> x<|startoftext|>y don't I'm 123 ½", "aaaa aaa!!!!", "日本語 한국어 é"]
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def table(spark, texts, **more):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in more.items():
+        df = df.withColumn(name, F.lit(value))
+    return df
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# 1: quality rules
+
+
+def measured(text):
+    t = text or ""
+    words = SPACE.findall(t)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if SPACE.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_measures_equal_brute_force(spark):
+    rnd = random.Random(1)
+    texts = TRICKY + ["\n".join(" ".join(rnd.choice("abc#") for _ in range(rnd.randrange(14))) for _ in range(6)) for _ in range(40)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g h " * 2, "x\x0by\x0cz w"]
+    found = by_id(quality.measures(table(spark, texts, n_words=7, other="kept")))
+    for i, t in enumerate(texts):
+        r = found[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words) == measured(t), t
+        assert r.other == "kept"
+
+
+def test_cascade_keeps_what_no_rule_rejects(spark):
+    texts = ["word " * 3, " ".join(f"w{i}" for i in range(40)), "a b c d e f g h " * 9, None, " ".join(f"w{i}###" for i in range(40))]
+    found = by_id(quality.cascade(table(spark, texts, kept="x")))
+    assert [found[i].kept for i in range(5)] == [False, True, False, False, False]
+    assert found[4].rejected_by == "symbols" and found[1].rejected_by is None
+    assert quality.cascade(table(spark, texts).limit(0)).count() == 0
+
+
+def test_rules_that_reject_more_per_cost_come_first(spark):
+    sample = quality.measures(table(spark, ["a b"] * 50 + ["w " * 30] * 2)).persist()
+    slow = "n_words < 20 AND length(sha2(repeat(text, 4000), 512)) > 0"
+    order = quality.order_rules(sample, {"a_slow": slow, "fast": "n_words < 20", "never": "n_words < 0"})
+    sample.unpersist()
+    assert order.index("fast") < order.index("never") and order.index("a_slow") < order.index("never")
+
+
+# 2: quotation linking
+
+
+def test_quotes_link_to_the_latest_earlier_line(spark):
+    rows = [
+        (1, 0, "u", "Hello world\nhow are you"),
+        (1, 1, "a", "> Hello  WORLD\nfine"),
+        (1, 2, "u", ">> Hello world\n> fine\ngood"),
+        (1, 3, "a", "unrelated"),
+        (1, 4, "u", "> unrelated\nok"),
+        (1, 5, None, None),
+        (1, 9, "u", "> nowhere\n>> how are you\nx"),
+        (1, 5000, "u", "> ok\nlate"),
+        (1, 5000, "u", "> ok\nlate"),
+        (2, 0, "u", "> fine\nx"),
+        (None, 1, "u", "> x"),
+    ]
+    found = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("extra", F.lit(1)))
+    got = [(r.conv_id, r.turn, r.content, r.parent_turn, r.thread, r.depth, r.n_quoted) for r in found.collect()]
+    assert len(got) == len(rows)
+    one = {g[1]: g for g in got if g[0] == 1}
+    assert one[1][2:5] == ("fine", 0, 0) and one[2][2:] == ("good", 1, 0, 2, 2) and one[4][3:5] == (3, 3)
+    assert one[9][3] == 0 and one[5000][3:5] == (4, 3) and one[5][2:5] == ("", None, 5)
+    assert [g[3] for g in got if g[0] == 2] == [None]
+    order = [g[1] for g in got if g[0] == 1]
+    assert order == [0, 1, 2, 9, 3, 4, 5000, 5000, 5]
+
+
+def test_quotes_in_an_empty_table(spark):
+    assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_long_conversation_links_over_blocks(spark):
+    rows = [(7, i, "u", f"line {i}\nsame" if i % 3 else f"> line {i - 2}\nown {i}") for i in range(0, 4000)]
+    found = quotes.parents(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.turn, r.parent_turn) for r in found} == {(i, i - 2) for i in range(3, 4000, 3)}
+
+
+# 3: BPE
+
+
+def test_bpe_equals_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(4)
+    texts = TRICKY + ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(128, 0x2FF), rnd.randrange(0x300, 0x3100), 32, 97, 97, 39])) for _ in range(rnd.randrange(60))) for _ in range(300)]
+    coded = bpe.decode(bpe.encode(table(spark, texts, token_ids=1, other=2), path), path)
+    found = by_id(coded)
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert found[i].token_ids == ids, t
+        assert found[i].decoded == library.decode(ids, skip_special_tokens=False) and found[i].other == 2
+
+
+def test_bpe_forgets_and_learns_again():
+    encoder = bpe.Encoder(bpe.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    first = encoder.encode(["hello there", "abc"])[0].tolist()
+    encoder.forget()
+    assert encoder.encode(["hello there", "abc"])[0].tolist() == first
+
+
+# 4: decontamination
+
+
+def marked(docs, items, n):
+    windows = {}
+    for i, t in items:
+        w = ALNUM.findall(lower(t))
+        for k in range(max(len(w) - n, 0) + 1) if w else ():
+            windows.setdefault(tuple(w[k : k + n]), set()).add(i)
+    out = []
+    for t in docs:
+        w, hit, found = ALNUM.findall(lower(t)), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (x := windows.get(tuple(w[k : k + size]))) is not None:
+                    hit |= set(range(k, k + size))
+                    found |= x
+        out.append((len(w), len(hit), sorted(str(x) for x in found if x is not None)))
+    return out
+
+
+@pytest.mark.parametrize("n,block", [(3, None), (10, None), (4, 40)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, n, block):
+    if block:
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+    rnd = random.Random(n)
+    docs = TRICKY + [" ".join(rnd.choice("abcé-") if rnd.random() < 0.97 else "ZZ" for _ in range(rnd.randrange(150))) for _ in range(60)] * 2
+    items = [(i, " ".join(rnd.choice("ABCÉé") for _ in range(rnd.randrange(14)))) for i in range(8)] + [(None, "b a"), (50, None), (3, "c c c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = by_id(decontaminate.decontaminate(table(spark, docs, n_hit="x", items="y"), bench, n=n))
+    expected = marked(docs, [x for x in items if x[1] is not None], n)
+    for i, e in enumerate(expected):
+        r = found[i]
+        assert (r.n_words, r.n_hit, r["items"]) == e, docs[i]
+        covered = sum(len(ALNUM.findall(docs[i][s.start : s.end])) for s in r.removal_spans)
+        assert covered == r.n_hit
+
+
+def test_decontamination_without_items_or_documents(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert all(r.n_hit == 0 for r in decontaminate.decontaminate(table(spark, TRICKY), none).collect())
+    assert decontaminate.decontaminate(table(spark, ["a"]).limit(0), none).count() == 0
+
+
+# 5: Jaccard join
+
+
+def joined(rows, n, percent):
+    sets, parent = {}, {}
+    for i, t in rows:
+        w = SPACE.findall(lower(t))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+        parent[i] = i
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize("n,percent,seed", [(3, 90, 1), (5, 80, 2), (2, 50, 3), (1, 60, 4)])
+def test_join_equals_brute_force(spark, n, percent, seed):
+    rnd = random.Random(seed)
+    base = [[rnd.choice("abcdefghijklmnopqrstuvw") for _ in range(rnd.choice([1, 2, 5, 12, 30, 60]))] for _ in range(8)]
+    rows = [(900, None), (901, ""), (902, " \n")]
+    for i in range(90):
+        text = list(rnd.choice(base))
+        for _ in range(rnd.randrange(4)):
+            text[rnd.randrange(len(text))] = rnd.choice("xyzXYZ")
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x"))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(df, n=n, percent=percent).collect()}
+    assert found == joined(rows, n, percent)
+
+
+def test_join_opens_groups_of_many_like_documents(spark):
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rnd.randrange(3)):
+            text[rnd.randrange(60)] = f"x{rnd.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    found = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == joined(rows, 3, 90)
+
+
+def test_join_of_repeated_rows_null_ids_and_nothing(spark):
+    rows = [(4, "a b c"), (4, "a b c"), (2, "A b c"), (None, "a b c"), (7, None)]
+    found = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter([(4, 1, 2), (4, 1, 2), (2, 1, 2), (None, 1, None), (7, 0, 7)])
+    assert jaccard.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# 6: URL filters
+
+
+def test_url_rules(spark):
+    cases = [
+        ("https://a.Example.ORG/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"),
+        ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+        ("http://example.org/en/2", "example.org", "/en/2", "org/", "allow"),
+        ("http://notexample.org", "notexample.org", "", None, "allow"),
+        ("http://x.com/de/", "x.com", "/de/", "com/de/", "block"),
+        ("http://spam-farm.example.com/fr/1", "spam-farm.example.com", "/fr/1", "com/fr/", "allow"),
+        ("http://spam-farm.example.net/fr/1", "spam-farm.example.net", "/fr/1", None, "block"),
+        ("http://casino-win.example.net?casino", "casino-win.example.net", "", None, "block"),
+        ("http://x.net/casino", "x.net", "/casino", None, "allow"),
+        ("no scheme/de/", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("://h\n/p\nq", "h\n", "/p\nq", None, "allow"),
+        ("http://é.com/de/ü", "é.com", "/de/ü", "com/de/", "block"),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, url string").withColumn("rule", F.lit(1))
+    found = by_id(urls.judge(df))
+    for i, c in enumerate(cases):
+        assert (found[i].host, found[i].path, found[i].rule, found[i].verdict) == c[1:], c[0]
+    assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_automaton_equals_regular_expressions():
+    rnd = random.Random(2)
+    globs = ["*.org/**", "a?c*", "**x**y", "b", "?", "", "**", "*"] + ["".join(rnd.choice("ab/*?x") for _ in range(rnd.randrange(9))) for _ in range(120)]
+    globs = [g for g in globs if "***" not in g]
+    texts = ["".join(rnd.choice("abx/c.") for _ in range(rnd.randrange(12))) for _ in range(300)] + ["", "a" * 300]
+    pattern = {"**": "(?s:.*)", "*": "[^/]*", "?": "[^/]"}
+    fits = urls.simulate(urls.compile_globs(globs), [t.encode() for t in texts])
+    for k, g in enumerate(globs):
+        expression = re.compile("".join(pattern.get(x, re.escape(x)) for x in re.findall(r"\*\*|\*|\?|.", g)))
+        assert [bool(expression.fullmatch(t)) for t in texts] == fits[:, k].tolist(), g
+
+
+# 7: licences
+
+
+def best_licence(text):
+    found = []
+    paragraphs = [x.strip("\n") for x in re.split(r"\n\s*\n", text or "") if x.strip()]
+    passages = (text or "").split("\n") + [x for x in paragraphs if "\n" in x] + ([text] if len(paragraphs) > 1 else [])
+    for passage in passages:
+        words = re.findall("[a-z0-9]+", passage.lower())
+        mine = set(zip(words, words[1:], strict=False)) if len(words) > 1 else {(w, "") for w in words}
+        scores = []
+        for name, template in licences.TEMPLATES:
+            other = re.findall("[a-z0-9]+", template.lower())
+            pairs = set(zip(other, other[1:], strict=False))
+            score = 2 * len(mine & pairs) / (len(mine) + len(pairs))
+            if mine and score >= 0.8:
+                scores.append((-score, name))
+        found += [min(scores)] if scores else []
+    return (min(found)[1], -min(found)[0], len(found)) if found else (None, 0.0, 0)
+
+
+def test_licences_equal_brute_force(spark):
+    rnd = random.Random(6)
+    texts = list(TRICKY)
+    for _, template in licences.TEMPLATES:
+        words = template.split()
+        for _ in range(4):
+            changed = [w for w in words if rnd.random() > 0.07] + (["more"] if rnd.random() < 0.3 else [])
+            texts.append("prose before\n" + " ".join(changed) + "\nprose after that is no licence")
+    found = by_id(licences.scan(table(spark, texts, dice="x")))
+    for i, t in enumerate(texts):
+        assert (found[i].licence, found[i].dice, found[i].n_matches) == best_licence(t), t
+    assert licences.scan(table(spark, texts).limit(0)).count() == 0
+
+
+def test_a_licence_over_several_lines_is_found(spark):
+    long = dict(licences.TEMPLATES)["ISC"]
+    text = "title\n\n" + long[:40] + "\n" + long[40:] + "\n\nend"
+    assert by_id(licences.scan(table(spark, [text])))[0].licence == "ISC"
+
+
+# 8: HTML
+
+
+def test_main_text():
+    page = """<!DOCTYPE html><html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li>a</li></ul></nav>
+    <div id="sidebar">x <div>y</div></div><article><h1>T &amp; U</h1><p>One <b>t</b>wo<br>three.</p><aside>see also</aside><p>x.</p>
+    <div class="ads">buy</div><form><p>f</p></form><script>var t="</p>";</script><!-- c --><p>last &lt;end&gt;</p></article>
+    <section class="comments"><article class="comment">hi</article></section><footer>f</footer></body></html>"""
+    assert extract.main_text(page) == "T & U One two three. x. last <end>"
+    assert extract.main_text(None) == extract.main_text("") == extract.main_text("<p></p>") == ""
+    assert extract.main_text("<article><p>Er.</p><p>cut <b") == "Er. cut"
+    assert extract.main_text("plain") == "plain"
+
+
+def test_main_text_by_distribution_alone():
+    body = "".join(f"<p>{'long prose here ' * 6}{k}.</p>" for k in range(4))
+    page = f"<body><div class='menu'><a>one</a> <a>two</a></div><div>{body}<p>short.</p></div><div class='footer'>c</div></body>"
+    text = extract.main_text(page)
+    assert text.startswith("long prose") and text.endswith("short.") and "one" not in text and " c" not in text[-3:]
+
+
+def test_gaps_and_surges():
+    assert extract.between_surge_and_dive([5, 0, 0, 0, 90, 1, 0, 0, 0, 4], 86) == [(2, 6)]
+    assert extract.between_surge_and_dive([], 1) == []
+
+
+def test_extraction_of_columns(spark):
+    df = spark.createDataFrame([(1, None), (2, "<p>a&nbsp; b</p>")], "doc_id long, html string").withColumn("text", F.lit("old"))
+    found = by_id(extract.extract(df))
+    assert found[1].text == "" and found[2].text == "a b"
+
+
+# 9: language
+
+
+def test_languages(spark):
+    rnd = random.Random(8)
+    parts = {"en": ["th", "ing", "er", "the", "wh"], "de": ["sch", "ung", "keit", "ü", "ein"], "fr": ["eau", "oi", "é", "que", "ment"]}
+    make = lambda lang, k: " ".join("".join(rnd.choice(parts[lang]) for _ in range(rnd.randrange(1, 4))) for _ in range(k))
+    rows = [(i, make(lang, 40), lang) for i in range(120) for lang in [rnd.choice(list(parts))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = langid.training_rows(docs)
+    assert {r.doc_id for r in training.collect()} == {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    model = langid.fit(training)
+    assert model.languages == ["de", "en", "fr"] and model.by_chance.max() < 0.01
+    found = by_id(langid.identify(docs.withColumn("score", F.lit("x")), model))
+    assert all(found[i].lang_pred == lang and found[i].accepted and 0 <= found[i].score <= 1 for i, _, lang in rows)
+    odd = by_id(langid.identify(table(spark, [None, "", "123 !?", "日本語", "THE WHING"]), model))
+    assert [odd[k].lang_pred for k in range(3)] == ["und"] * 3 and odd[3].lang_pred in model.languages and not odd[3].accepted and odd[4].lang_pred == "en"
+    nothing = langid.fit(docs.limit(0))
+    assert by_id(langid.identify(docs, nothing))[0].lang_pred == "und"
+
+
+def test_bit_slices_equal_one_filter_for_each_language(spark):
+    docs = spark.createDataFrame([(1, "the thing", "en"), (2, "schein heit", "de")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    shares, _ = langid.evidence(model, ["the thing", "schein heit"])
+    assert shares[0, 1] > 0.99 and shares[1, 0] > 0.99 and shares[0, 0] < 0.1
+
+
+# 10: secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def ratios_of(spark):
+    prose = ["the quick brown fox jumps over the lazy dog while reading configuration values from several files", "another ordinary sentence with common identifiers and words"] * 5
+    return secrets.train(secrets.training_sample(table(spark, prose)))
+
+
+def test_base_spans_equal_brute_force(spark):
+    rnd = random.Random(10)
+    bits = ["password", "API_KEY", "apikey", "Token", "secret", "ſecret", " ", ":", "=", '"', "'", "é😀", "AKIA", "AKIA" + "A1" * 9, "0123456789abcdef" * 2, "abcdef", "x", ".", "Hunter22", "token = token = abcdefgh", "\n"]
+    texts = TRICKY + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(14))) for _ in range(200)]
+    found = by_id(secrets.scan(table(spark, texts, spans=1), ratios_of(spark)))
+    for i, t in enumerate(texts):
+        mine = [(s.start, s.kind, s.end) for s in found[i].spans]
+        assert [s for s in mine if s[1] < 3] == base_spans(t or ""), t
+        assert mine == sorted(mine)
+        assert all((t or "")[s.start : s.end].endswith(s.value) for s in found[i].spans if s.kind)
+
+
+def test_models_tell_random_from_ordinary(spark):
+    ratios = ratios_of(spark)
+    random_ = [hashlib.sha256(str(k).encode()).hexdigest()[:22] + "Zq9" for k in range(30)]
+    ordinary = [f"configuration_values_{k}" for k in range(10)] + ["reading/several/files/2024", "another-common-identifier-1"]
+    df = spark.createDataFrame([(v,) for v in random_ + ordinary], "v string").withColumn("r", secrets.mean_ratio(F.col("v"), ratios))
+    score = {r.v: r.r for r in df.collect()}
+    assert all(score[v] >= secrets.LEAST_RATIO for v in random_) and all(score[v] < secrets.LEAST_RATIO for v in ordinary)
+
+
+def test_redaction(spark):
+    texts = ['ü token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "clean", None, "0123456789abcdef01234567"]
+    found = by_id(secrets.redact(secrets.scan(table(spark, texts), ratios_of(spark))))
+    assert [found[k].text for k in range(4)] == ['ü [SECRET]" end', "clean", None, "[SECRET]"]
+
+
+def test_untrained_models_and_empty_tables(spark):
+    none = secrets.train(spark.createDataFrame([], "value string, random boolean"))
+    assert set(none.values) == {0.0}
+    assert secrets.scan(table(spark, ["a"]).limit(0), none).count() == 0
