@@ -4,8 +4,9 @@ A document's set holds its distinct word shingles. Documents that are alike are
 put into groups: all that share one of their rarest shingles are compared with
 one of them, and what passes falls together. The matrix then says which groups
 can still hold partners of a document outside: it lists groups by the shingles
-by which any partner must be found, each group's union of shingles bounds the
-overlap with a query, and only groups whose bound is high enough are opened.
+by which any partner must be found, each group's union of shingles (as bits)
+bounds the overlap with a query, and only groups whose bound is high enough are
+opened. What is left is decided on the whole sets.
 
 No task ever holds the pairs within a group: copies are one set, a member meets
 its group's leader once, and between groups only qualifying ones are opened.
@@ -76,28 +77,52 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(sketch, (1 << 32) - 1).astype(np.uint64)
 
 
+def _bits(one: np.ndarray) -> np.ndarray:
+    """A set as bits, four to eight for each shingle: a power of two of them, so that a longer row folds onto a shorter one."""
+    size = 1 << max(6, int(4 * len(one) - 1).bit_length())
+    row = np.zeros(size, np.uint8)
+    row[(one & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(row, bitorder="little").view(np.uint64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same set over ``words`` words, which are not more than it has."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _most_shared(query: np.ndarray, size: int, union: np.ndarray) -> int:
+    """A bound of the overlap of a set of ``size`` shingles with a union: each bit that only the set has is a shingle of its own."""
+    words = min(len(query), len(union))
+    return size - int(np.bitwise_count(_folded(query, words) & ~_folded(union, words)).sum())
+
+
 def _profiles(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, size, digest, rare): each document's set by size and digest, and the rarest shingles, one of which any partner shares."""
+    """(doc_id, size, digest, bits, rare): each document's set by size, digest and bits, and the rarest shingles, one of which any partner shares."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, rare, bounds = [], [], [], [0]
+            sizes, digests, bits, rare, bounds = [], [], [], [], [0]
             for one in _sets(batch.column(1), n):
                 seen = shared.value[(one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 least = len(one) - -(-percent * len(one) // 100) + 1 if len(one) else 0
                 order = np.argsort((seen << np.uint64(32)) | (one >> np.uint64(32)), kind="stable")[:least]
                 sizes.append(len(one))
                 digests.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
+                bits.append(_bits(one).tobytes())
                 rare.append(one[order])
                 bounds.append(bounds[-1] + least)
             flat = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))],
-                ["doc_id", "size", "digest", "rare"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), lists], ["doc_id", "size", "digest", "bits", "rare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, digest binary, rare array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, digest binary, bits binary, rare array<long>")
+
+
+def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose ``doc`` is one of ``ids``: few ids go to where the rows are, more than ``FEW_IDS`` are joined by a shuffle."""
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return table.join(F.broadcast(ids) if few else ids, "doc", "leftsemi")
 
 
 def _set_table(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -107,12 +132,14 @@ def _set_table(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([one.tobytes() for one in _sets(batch.column(1), n)], pa.binary())], ["doc", "set"])
 
-    # Few ids go to where the texts are; more than FEW_IDS are joined by a shuffle.
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "leftsemi")
+    rows = _only(docs.select(F.col("doc_id").alias("doc"), "text"), ids)
     return settle(rows.mapInArrow(run, "doc long, set binary"), "sets")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+
+
 def _overlap(a: bytes, b: bytes) -> tuple[int, int, int]:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if len(x) > len(y):
@@ -121,8 +148,30 @@ def _overlap(a: bytes, b: bytes) -> tuple[int, int, int]:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0, len(x), len(y)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b) those whose Jaccard coefficient is at least ``percent`` / 100."""
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (a, b) whose bits still allow the coefficient; none that reaches it is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, m, y, k in zip(*(batch.column(c) for c in ("x", "m", "y", "k")), strict=True):
+                m, k = m.as_py(), k.as_py()
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = min(_most_shared(x, m, y), _most_shared(y, k, x))
+                keep.append(100 * both >= percent * (m + k - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = bits.select(F.col("doc").alias("a"), F.col("bits").alias("x"), F.col("size").alias("m"))
+    right = bits.select(F.col("doc").alias("b"), F.col("bits").alias("y"), F.col("size").alias("k"))
+    whole = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"100 * least(m, k) >= {percent} * greatest(m, k)")
+    return whole.select("a", "b", "x", "m", "y", "k").mapInArrow(run, "a long, b long")
+
+
+def _linked(docs: DataFrame, candidates: DataFrame, bits: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of the candidate pairs (a, b) those whose Jaccard coefficient is at least ``percent`` / 100; whole sets are made only where bits allow it."""
+    candidates = settle(candidates, "candidates")
+    pairs = settle(_possible(candidates, _only(bits, _ends(candidates)), percent), "possible")
+    sets = _set_table(docs, _ends(pairs), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +183,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("doc").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    whole = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return whole.mapInArrow(run, "a long, b long")
+    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    found = settle(whole.mapInArrow(run, "a long, b long"), "linked")
+    forget(sets, pairs, candidates)
+    return found
 
 
-def _between_groups(docs: DataFrame, postings: DataFrame, tested: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:
+def _between_groups(docs: DataFrame, postings: DataFrame, bits: DataFrame, tested: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:
     """Links between documents of different components, through the token-group matrix; None if no group qualifies by its tokens."""
     known = labels.select(F.col("node").alias("doc"), "component")
     rows = postings.join(known, "doc", "left").withColumn("c", F.coalesce("component", "doc"))
@@ -164,14 +215,19 @@ def _between_groups(docs: DataFrame, postings: DataFrame, tested: DataFrame, lab
     counts = members.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / GROUP)
     members = settle(members.join(counts, "component").withColumn("part", F.pmod(F.xxhash64("doc"), blocks)), "members")
-    sets = _set_table(docs, members.select("doc").distinct(), n)
 
     def union(frame: pd.DataFrame) -> pd.DataFrame:
-        every = [np.frombuffer(x, np.uint64) for x in frame["set"]]
-        row = {"component": frame["component"].iloc[0], "part": frame["part"].iloc[0], "union": np.unique(np.concatenate(every)).tobytes()}
-        return pd.DataFrame([row | {"least": min(map(len, every))}])
-
-    matrix = members.join(sets, "doc").select("component", "part", "set").groupBy("component", "part").applyInPandas(union, "component long, part long, union binary, least long")
+        rows = [np.frombuffer(x, np.uint64) for x in frame["bits"]]
+        words = min(map(len, rows))
+        every = np.bitwise_or.reduce([_folded(x, words) for x in rows], axis=0)
+        row = {"component": frame["component"].iloc[0], "part": frame["part"].iloc[0], "union": every.tobytes(), "least": frame["size"].min()}
+        return pd.DataFrame([row])
+
+    bits = settle(_only(bits, members.select("doc").distinct()), "bits")
+    rows = members.join(bits, "doc").select("component", "part", "bits", "size", "n")
+    alone = rows.where("n = 1").select("component", "part", F.col("bits").alias("union"), F.col("size").alias("least"))
+    many = rows.where("n > 1").drop("n").groupBy("component", "part")
+    matrix = alone.unionByName(many.applyInPandas(union, "component long, part long, union binary, least long"))
     n_of = counts.select("component", "n")
     sided = pairs.join(n_of.withColumnsRenamed({"component": "a", "n": "na"}), "a").join(n_of.withColumnsRenamed({"component": "b", "n": "nb"}), "b")
     few = F.col("na") <= F.col("nb")
@@ -181,15 +237,17 @@ def _between_groups(docs: DataFrame, postings: DataFrame, tested: DataFrame, lab
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y, least in zip(batch.column(3), batch.column(4), batch.column(5), strict=True):
-                query = x.as_py()
-                keep.append(100 * _overlap(query, y.as_py())[0] >= percent * max(len(query) // 8, least.as_py()))
+            for x, size, y, least in zip(*(batch.column(c) for c in ("bits", "size", "union", "least")), strict=True):
+                most = _most_shared(np.frombuffer(x.as_py(), np.uint64), size.as_py(), np.frombuffer(y.as_py(), np.uint64))
+                keep.append(100 * most >= percent * max(size.as_py(), least.as_py()))
             yield batch.select(["doc", "component", "part"]).filter(pa.array(keep, pa.bool_()))
 
-    met = queries.join(matrix, "component").join(sets, "doc").select("doc", "component", "part", "set", "union", "least")
+    met = queries.join(matrix, "component").join(bits, "doc").select("doc", "component", "part", "bits", "size", "union", "least")
     opened = met.mapInArrow(bound, "doc long, component long, part long")
     opened = opened.join(members.select("component", "part", F.col("doc").alias("b")), ["component", "part"]).select(F.col("doc").alias("a"), "b")
-    return settle(_linked(opened, sets, percent), "more")
+    found = _linked(docs, opened, bits, n, percent)
+    forget(pairs, members, bits)
+    return found
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -200,8 +258,9 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingles; with fewer words the whole sequence is one shingle; a null or
     wordless text has none and links with nothing. ``component_id`` is the
     smallest id that links lead to, the document's own included. Repeated rows
-    each give a row; texts with the same set are one node, and so are two whose
-    smallest ids are equal. A row with a null id gets a null component.
+    each give a row. An id names one document: where it stands on several texts,
+    what links with any of them may be joined through it. A row with a null id
+    gets a null component.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     profiles = settle(_profiles(docs, n, percent, frequencies(docs, n)), "profiles")
@@ -216,12 +275,11 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaders = postings.groupBy("token", "level").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = postings.join(leaders, ["token", "level"]).where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     tested = settle(star.distinct(), "star")
-    ends = tested.select(F.col("a").alias("doc")).unionByName(tested.select(F.col("b").alias("doc"))).distinct()
-    sets = _set_table(docs, ends, n)
-    links = settle(_linked(tested, sets, percent), "linked")
-    forget(sets)
+    bits = profiles.select(F.col("doc_id").alias("doc"), "size", "bits").where("doc IS NOT NULL AND size > 0")
+    links = _linked(docs, tested, bits, n, percent)
     labels = settle(components(links), "labels")
-    more = _between_groups(docs, postings, tested, labels, n, percent)
+    more = _between_groups(docs, postings, bits, tested, labels, n, percent)
+    forget(postings, tested)
     if more is not None and not more.isEmpty():
         labels = settle(components(links.unionByName(more)), "labels")
     found = profiles.select("doc_id", "size", "digest").join(classes, "digest", "left")
