@@ -41,11 +41,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures, the contract's base verdict, and the cascade's."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality.cascade(docs).drop("text")
+    judged = quality.cascade(docs).drop("text", "rejected_by")
     judged = judged.withColumn("base_failed", F.expr(f"({quality.RULES['few_words']}) OR ({quality.RULES['repeated_passages']})"))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("kept"))
 
 
+ORACLE_SQL["op1_quality"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+h AS (SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 8) AS after FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, CAST(sum(least(8, after - i)) AS BIGINT) AS n FROM h GROUP BY 1),
+m AS (SELECT d.doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR n_lines > 4 AND 2 * n_dup_lines > n_lines OR n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+        OR n_words >= 20 AND 2 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > word_chars) AS kept
+FROM b
+"""
+
+
 @query
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, deciding rule and verdict."""
@@ -123,12 +140,36 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE_SQL["op4_decontaminate"] = r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i+9], ' ') AS s FROM iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, i, l, array_to_string(w[i:i+l-1], ' ') AS s FROM dw, (SELECT DISTINCT l FROM p) AS q, unnest(range(1, len(w) - l + 2)) AS u(i)),
+h AS (SELECT doc_id, i, g.l, item_id FROM g JOIN p USING (s)),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM h, unnest(range(i, i + l)) AS u(k) GROUP BY 1),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
+
+
 @query
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component under a Jaccard coefficient of 0.9 on 3-word shingles."""
     return jaccard.join_components(read_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+ORACLE_SQL["op5_jaccard"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+2], ' ') AS t FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
+"""
+
+
 @query
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotes, with the message it answers, ordered so that replies follow what they answer."""
