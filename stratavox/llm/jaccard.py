@@ -30,7 +30,7 @@ from stratavox.llm.tables import forget, settle
 from stratavox.llm.words import SPACE_WORDS, pieces, shingle_sets, word_hashes, word_spans
 
 #: Counters of the frequency sketch, and the parts in which its sums are shuffled.
-SKETCH_BITS, SKETCH_PARTS = 18, 64
+SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Documents of one group at most; a larger set of like documents becomes several groups.
 GROUP = 64
 #: Ids of documents (8 bytes each) that are broadcast at most.
@@ -53,7 +53,7 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     width = size // SKETCH_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(size, np.int64)
+        sketch = np.zeros(size, np.int32)
         for batch in batches:
             for one in _sets(batch.column(0), n):
                 np.add.at(sketch, (one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -65,7 +65,7 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for x in frame["counts"]:
-            total += np.frombuffer(x, np.int64)
+            total += np.frombuffer(x, np.int64 if len(x) == 8 * width else np.int32)
         return frame.iloc[:1].assign(counts=[total.tobytes()])
 
     schema = "part int, task int, counts binary"
@@ -74,7 +74,7 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     sketch = np.zeros(size, np.int64)
     for row in parts.collect():
         sketch[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(sketch, (1 << 32) - 1).astype(np.uint64)
+    return np.minimum(sketch, (1 << 32) - 1).astype(np.uint32)
 
 
 def _bits(one: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ def _profiles(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Data
         for batch in batches:
             sizes, digests, bits, rare, bounds = [], [], [], [], [0]
             for one in _sets(batch.column(1), n):
-                seen = shared.value[(one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                seen = shared.value[(one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                 least = len(one) - -(-percent * len(one) // 100) + 1 if len(one) else 0
                 order = np.argsort((seen << np.uint64(32)) | (one >> np.uint64(32)), kind="stable")[:least]
                 sizes.append(len(one))
@@ -193,13 +193,16 @@ def _between_groups(docs: DataFrame, postings: DataFrame, bits: DataFrame, teste
     """Links between documents of different components, through the token-group matrix; None if no group qualifies by its tokens."""
     known = labels.select(F.col("node").alias("doc"), "component")
     rows = postings.join(known, "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    cells = rows.groupBy("token", "c").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    # A pair's overlap is at most what either still has from its first shared shingle on; the rarest come first.
+    rest = F.max(F.col("size") - F.col("place")).alias("rest")
+    cells = rows.groupBy("token", "c").agg(F.min("size").alias("low"), F.max("size").alias("high"), rest)
     shared = cells.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     cells = settle(cells.join(shared, "token", "leftsemi"), "cells")
     x, y = cells.alias("x"), cells.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c"))
     sizes = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
-    pairs = x.join(y, meet & sizes).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    enough = (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.low") + F.col("y.low"))
+    pairs = x.join(y, meet & sizes & enough).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     # Two documents of no component that were compared already need no second look.
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     lone = labels.select("component").distinct()
@@ -266,7 +269,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     profiles = settle(_profiles(docs, n, percent, frequencies(docs, n)), "profiles")
     classes = profiles.where("size > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"))
     classes = settle(classes, "classes")
-    firsts = profiles.join(classes, profiles["doc_id"] == classes["doc"], "leftsemi").select(F.col("doc_id").alias("doc"), "size", F.explode("rare").alias("token"))
+    firsts = profiles.join(classes, profiles["doc_id"] == classes["doc"], "leftsemi").select(F.col("doc_id").alias("doc"), "size", F.posexplode("rare").alias("place", "token"))
     # A shingle that only one class lists leads nowhere: few rows are left for all that follows.
     often = firsts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     # Sizes of one level can reach the coefficient with each other.
