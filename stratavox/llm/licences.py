@@ -73,19 +73,20 @@ class Templates:
     def best(self, words: list[str], least: float) -> tuple[float, str] | None:
         """The highest coefficient of at least ``least`` and its licence; ties go to the licence first by name.
 
-        2 * |A n B| / (|A| + |B|) >= t needs |A| / |B| between t / (2 - t) and its
-        inverse: only templates of such a size are counted.
+        As |A n B| is at most the smaller size, 2 * min / (|A| + |B|) bounds the
+        coefficient: only templates of such a size are counted.
         """
-        low, high = least / (2 - least), (2 - least) / least
-        if not words or len(words) - 1 < low * min(self.sizes):
+        least_size, most_size, size = min(self.sizes), max(self.sizes), max(1, len(words) - 1)
+        if not words or size < least_size and 2 * size / (size + least_size) < least:
             return None
         pairs = bigrams(words)
-        if not low * min(self.sizes) <= len(pairs) <= high * max(self.sizes):
+        size = len(pairs)
+        if size > most_size and 2 * most_size / (size + most_size) < least:
             return None
         both: dict[int, int] = {}
         for pair in pairs:
             for k in self.index.get(pair, ()):
-                if low * self.sizes[k] <= len(pairs) <= high * self.sizes[k]:
+                if 2 * min(size, self.sizes[k]) / (size + self.sizes[k]) >= least:
                     both[k] = both.get(k, 0) + 1
         found = [(2 * n / (len(pairs) + self.sizes[k]), self.names[k]) for k, n in both.items()]
         return min(((d, x) for d, x in found if d >= least), key=lambda y: (-y[0], y[1]), default=None)
