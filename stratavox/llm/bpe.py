@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Characters of one run of texts, and remembered chunks after which a task forgets them all.
-RUN_CHARS = 3 << 20
-MEMORY_CHUNKS = 150_000
+RUN_CHARS = 1 << 20
+MEMORY_CHUNKS = 100_000
 
 # Fixed values of the tokenizer's format: its pattern for lower-case ASCII, and white space that str.split() knows but \s does not.
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -90,7 +90,19 @@ class Vocabulary:
         return [bytes(map(self.byte.__getitem__, x)) for x, _ in found]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def token_list(path: str) -> list[str]:
+    """The tokens of a tokenizer file by id: all that decoding needs."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    named = [*spec["model"]["vocab"].items(), *((x["content"], x["id"]) for x in spec["added_tokens"])]
+    tokens = [""] * (max(i for _, i in named) + 1)
+    for token, i in named:
+        tokens[i] = token
+    return tokens
+
+
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as file:
         return Vocabulary(file.read())
@@ -309,11 +321,11 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "dec
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(path).tokens
+        tokens = token_list(path)
         last = len(tokens)
         for batch in batches:
-            for row in range(0, batch.num_rows, 512):
-                part = batch.slice(row, 512)
+            for row in range(0, batch.num_rows, 128):
+                part = batch.slice(row, 128)
                 lists = part.column(ids)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 good = len(flat) == 0 or lists.flatten().null_count == 0 and 0 <= flat.min() and flat.max() < last

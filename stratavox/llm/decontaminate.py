@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from stratavox.llm.words import ALNUM_WORDS, pieces, word_hashes, word_spans
 
 #: Bytes of text of one shard; every how manieth position is sampled; symbols of one stretch at most (longer ones overlap).
-SHARD = 4 << 20
+SHARD = 2 << 20
 SAMPLE = 8
 STRETCH = 64
 #: Bytes of benchmark text whose phrases are broadcast together; a larger benchmark is searched for in several blocks.

@@ -23,6 +23,8 @@ from stratavox.llm.words import mix
 
 #: Lengths of the n-grams; a word's start and end count as a character.
 GRAM_SIZES = (3, 4)
+#: Characters of texts whose n-grams are looked up together.
+RUN_CHARS = 1 << 18
 #: Slots (rows) of the filter table, and rows looked up for an n-gram: three of 20 bits of one hash.
 SLOT_BITS, PROBES = 20, 3
 #: An n-gram belongs to each language in which it is at least this often as frequent as in its most frequent one.
@@ -88,7 +90,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", grams_each:
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in sorted(set(names)):
-                for run in runs([t for t, x in zip(texts, names, strict=True) if x == name], 2 << 20):
+                for run in runs([t for t, x in zip(texts, names, strict=True) if x == name], RUN_CHARS):
                     keys, n = np.unique(grams(run)[0], return_counts=True)
                     yield pa.record_batch([pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
@@ -143,7 +145,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", least: float = 0.0
         known = shared.value
         languages = np.array([*known.languages, UNKNOWN], object)
         for batch in batches:
-            for row, texts in text_runs(batch.column(names.index(text)), 1 << 20):
+            for row, texts in text_runs(batch.column(names.index(text)), RUN_CHARS):
                 shares, letters = evidence(known, texts)
                 if known.languages:
                     best, sums = shares.argmax(1), shares.sum(1)
