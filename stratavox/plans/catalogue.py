@@ -256,11 +256,11 @@ def training_voxels(spark, sf_dir):
     return sample.training_voxels(samples, points.select(F.col("vec_id").alias("pid"), "x", "y", "z"), EPTS, 2.0, 2, 0.1, 0.9)
 
 
-@query("SELECT frame_id, v, u, round((u-75e-1)/20e0*depth,6)+0e0 AS x, round((v-75e-1)/20e0*depth,6)+0e0 AS y, round(depth,6) AS z FROM px WHERE depth >= 24e-1 AND depth <= 27e-1", "px")
+@query("SELECT frame_id, v, u, round((u-75e-1)/20e0*depth,8)+0e0 AS x, round((v-75e-1)/20e0*depth,8)+0e0 AS y, round(depth,6) AS z FROM px WHERE depth >= 24e-1 AND depth <= 27e-1", "px")
 def unproject_depth(spark, sf_dir):
     pixels = views.px(spark, sf_dir).withColumn("depth", geo.depth_in_range(F.col("depth"), 2.4, 2.7)).where(~F.isnan("depth"))
     p = geo.unproject(F.col("u"), F.col("v"), F.col("depth"), *K)
-    return pixels.select("frame_id", "v", "u", *[(F.round(x, 6) + 0.0).alias(c) for x, c in zip(p, "xyz", strict=True)])
+    return pixels.select("frame_id", "v", "u", *[(F.round(x, n) + 0.0).alias(c) for x, c, n in zip(p, "xyz", (8, 8, 6), strict=True)])
 
 
 @query(
