@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Characters of one run of texts, and remembered chunks after which a task forgets them all.
-RUN_CHARS = 1 << 20
-MEMORY_CHUNKS = 100_000
+RUN_CHARS = 3 << 20
+MEMORY_CHUNKS = 150_000
 
 # Fixed values of the tokenizer's format: its pattern for lower-case ASCII, and white space that str.split() knows but \s does not.
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.llm.components import components
-from stratavox.llm.tables import forget, settle
+from stratavox.llm.tables import forget, settle, small_batches
 from stratavox.llm.words import SPACE_WORDS, pieces, shingle_sets, word_hashes, word_spans
 
 #: Counters of the frequency sketch, and the parts in which its sums are shuffled.
@@ -265,6 +265,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     what links with any of them may be joined through it. A row with a null id
     gets a null component.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     profiles = settle(_profiles(docs, n, percent, frequencies(docs, n)), "profiles")
     classes = profiles.where("size > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"))
