@@ -27,15 +27,35 @@ _BLOCKS = frozenset(
 )
 _ASIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|"
-    r"navigation|newsletter|notices?|pagination|popup|promo|related|replies|respond|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar "
+    "navigation newsletter notice notices pagination popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# What may stand beside such words in one token (site-header, ad-slot); any other piece (has-sidebar, entry-header) makes the token say something else.
+_NEUTRAL = frozenset("site global top bottom bar box block slot unit list links buttons form area articles posts stories".split())
+_PIECE = re.compile(r"[a-z0-9]+")
 # Of these, what frames the main text leaves a gap as wide as a window; an advert or a box between its paragraphs a single line.
 _FRAME = frozenset("nav header footer form menu".split())
 _FRAMED = re.compile(r"breadcrumb|comment|disqus|footer|header|masthead|menu|nav|replies|respond|sidebar|toolbar", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# Articles in these are comments or teasers beside the main text, not the main text itself.
+_CARDS = re.compile(r"comment|disqus|related|replies|respond", re.I)
+_BESIDE = 1 << 20
+
+# Ends that HTML implies: a start tag ends the nearest open element of the first set unless one of the second stands between.
+_SCOPES = frozenset("article main button caption table td th".split())
+_ENDS_P = _BLOCKS - frozenset("body br button center dd dt html legend li option tbody td tfoot th thead tr".split()) | frozenset(("center", "dd", "dt", "li"))
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ()),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr",), ("table",)),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot"), ("table",))),
+}
+_OF_TABLE = frozenset("caption tbody td tfoot th thead tr".split())
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|$(?![\s\S]))", re.S)
 _HIDDEN = re.compile(rf"<({_UNSHOWN})(?=[\s>/])(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|\Z))", re.S | re.I)
@@ -44,17 +64,148 @@ _CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-def _aside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds no main text: by its name, or by a word of its class or id, or by its role."""
+def _marks(token: str) -> bool:
+    """Whether a token of a class or id names what holds no main text: all its pieces are such words or neutral ones."""
+    pieces = _PIECE.findall(token.lower())
+    return any(x in _WORDS for x in pieces) and all(x in _WORDS or x in _NEUTRAL for x in pieces)
+
+
+def _aside(name: str, attributes: str, in_article: bool) -> int:
+    """0 if an element may hold main text. By its name or role it holds none (``_BESIDE``); by a token of its class or id (1) unless an article is in it."""
     if name in _ASIDE:
-        return not (in_article and name == "header")
-    if not attributes or name in ("html", "body", "main"):
-        return False
+        return 0 if in_article and name == "header" else _BESIDE
+    if not attributes or name in ("html", "body", "main", "article"):
+        return 0
+    found = 0
     for kind, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
-        if kind.lower() == "role" and value.lower() in _ROLES or kind.lower() != "role" and _MARKED.search(value):
-            return True
-    return False
+        if kind.lower() == "role":
+            if value.lower() in _ROLES:
+                return _BESIDE
+        else:
+            for token in value.split():
+                if _marks(token):
+                    found = max(found, _BESIDE if _CARDS.search(token) else 1)
+    return found
+
+
+class _Open:
+    """The stack of open elements, with the places of each name."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def last(self, *names: str) -> int:
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
+    def push(self, name: str, element: int) -> None:
+        for x in (name, "#block") if name in _BLOCKS or name == "table" else (name,):
+            self.at.setdefault(x, []).append(len(self.stack))
+        if name in _SCOPES:
+            self.at.setdefault("#scope", []).append(len(self.stack))
+        self.stack.append((name, element))
+
+    def cut(self, place: int) -> list[int]:
+        """End all elements from a place on; the numbers of those that count, the innermost first."""
+        ended = []
+        while len(self.stack) > place:
+            name, element = self.stack.pop()
+            self.at[name].pop()
+            if name in _BLOCKS or name == "table":
+                self.at["#block"].pop()
+            if name in _SCOPES:
+                self.at["#scope"].pop()
+            if element >= 0:
+                ended.append(element)
+        return ended
+
+    def implied(self, name: str) -> list[int]:
+        """Elements that the start tag of ``name`` ends."""
+        ended = []
+        if name in _ENDS:
+            names, bounds = _ENDS[name]
+            place = self.last(*names)
+            if place > self.last(*bounds, *(("article", "main") if name in _OF_TABLE else ("#scope",))):
+                ended = self.cut(place)
+        if name in _ENDS_P and self.at.get("p") and self.last("p") > self.last("#scope"):
+            ended += self.cut(self.last("p"))
+        return ended
+
+    def end(self, name: str) -> list[int]:
+        """Elements that the end tag of ``name`` ends: its own, and all that stand open in it."""
+        place = self.last(name)
+        if name in ("article", "main"):
+            bound = -1
+        elif name in _OF_TABLE:
+            bound = self.last("table", "article", "main")
+        elif name == "table":
+            bound = self.last("article", "main")
+        elif name in _SCOPES or name in _BLOCKS:
+            bound = self.last("#scope") if name not in _SCOPES else self.last("table", "td", "th", "article", "main")
+        else:
+            bound = self.last("#block")
+        return self.cut(place) if place > bound else []
+
+
+def _tags(page: str) -> tuple[list[tuple[int, int, bool, list[int], int]], list[tuple[int, bool]], set[int]]:
+    """The page's tags as (start of the text before, its end, whether a line ends, elements that end, element that starts or -1),
+    the elements that count as (kind of aside or 0 for articles, whether it leaves a notch), and the asides that are none as they hold the article."""
+    tags: list[tuple[int, int, bool, list[int], int]] = []
+    elements: list[tuple[int, bool]] = []
+    names: list[str] = []
+    costs: dict[int, int] = {}
+    holders: set[int] = set()
+    asides: list[int] = []
+    stack, at, count = _Open(), 0, {"article": 0, "main": 0}
+    far = 1 << 60
+    least = {"article": far, "main": far}
+
+    def leave(ended: list[int]) -> list[int]:
+        for k in ended:
+            if elements[k][0]:
+                asides.pop()
+            else:
+                count[names[k]] -= 1
+        return ended
+
+    def weigh(start: int, stop: int) -> None:
+        cost = costs[asides[-1]] if asides else 0
+        for kind in least:
+            if count[kind] and cost < least[kind] and start < stop and not page[start:stop].isspace():
+                least[kind] = cost
+
+    for tag in _TAG.finditer(page):
+        start, stop, at = at, tag.start(), tag.end()
+        weigh(start, stop)
+        close, name, attributes = tag[1], (tag[2] or "").lower(), tag[3] or ""
+        if not name or name in ("html", "body"):
+            tags.append((start, stop, name != "", [], -1))
+            continue
+        ended = leave(stack.end(name) if close else stack.implied(name))
+        opened = -1
+        if not close and name not in _VOID and not attributes.endswith("/"):
+            kind = _aside(name, attributes, count["article"] + count["main"] > 0)
+            if kind or name in count:
+                opened = len(elements)
+                elements.append((kind, name not in _FRAME and not _FRAMED.search(attributes)))
+                names.append(name)
+            if kind:
+                costs[opened] = kind + (costs[asides[-1]] if asides else 0)
+                asides.append(opened)
+            elif name in count:
+                count[name] += 1
+                for k in reversed(asides):
+                    if k in holders:
+                        break
+                    holders.add(k)
+            stack.push(name, opened)
+        tags.append((start, stop, name in _BLOCKS, ended, opened))
+    weigh(at, len(page))
+    tags.append((at, len(page), True, [], -1))
+    floor = min(least.values())
+    most = max(x for x in least.values() if x == floor or x < floor + _BESIDE)
+    return tags, elements, {k for k in holders if costs[k] <= most} if floor < far else set()
 
 
 def lines_of(page: str) -> tuple[list[str], bool]:
@@ -64,8 +215,8 @@ def lines_of(page: str) -> tuple[list[str], bool]:
     lines: list[tuple[str, bool]] = []
     gap, notch = [("", False)] * WINDOW, [("", False)]
     parts: list[str] = []
-    articles, away, depth, at = 0, "", 0, 0
-    marked = passing = False
+    articles, away = 0, -1
+    marked = False
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -73,39 +224,30 @@ def lines_of(page: str) -> tuple[list[str], bool]:
         if text:
             lines.append((text, articles > 0))
 
-    for tag in _TAG.finditer(page):
-        if not away:
-            parts.append(page[at : tag.start()])
-        at = tag.end()
-        close, name, attributes = tag[1], (tag[2] or "").lower(), tag[3] or ""
-        if not name:
-            continue
-        if away:
-            if name == away:
-                depth += -1 if close else not attributes.endswith("/")
-            elif not close and name in ("article", "main") and not articles and away not in ("section", "article", "ol", "ul"):
-                depth = 0  # the element before was never closed
-            if depth > 0:
-                continue
-            away = ""
-            lines += notch if passing else gap
-            if not (not close and name in ("article", "main")):
-                continue
-        if name in _BLOCKS:
-            end_line()
-        if name in _VOID or attributes.endswith("/"):
+    tags, elements, opened = _tags(page)
+    for start, stop, breaks, ended, element in tags:
+        if away < 0:
+            parts.append(page[start:stop])
+            if breaks:
+                end_line()
+        for k in ended:
+            if k == away:
+                away = -1
+                lines += notch if elements[k][1] else gap
+            elif away < 0 and not elements[k][0]:
+                end_line()
+                articles -= 1
+                if not articles:
+                    lines += gap
+        if element < 0 or away >= 0:
             continue
-        if not close and _aside(name, attributes, articles > 0):
-            end_line()
-            away, depth, passing = name, 1, name not in _FRAME and not _FRAMED.search(attributes)
-        elif name in ("article", "main"):
-            articles = max(0, articles + (-1 if close else 1))
+        if elements[element][0]:
+            if element not in opened:
+                end_line()
+                away = element
+        else:
+            articles += 1
             marked = True
-            if not articles:
-                lines += gap
-    if not away:
-        parts.append(page[at:])
-    end_line()
     if marked and any(inside for _, inside in lines):
         return [text if inside else "" for text, inside in lines], True
     return [text for text, _ in lines], False

@@ -337,6 +337,30 @@ def test_main_text_by_distribution_alone():
     assert text.startswith("long prose") and text.endswith("short.") and "one" not in text and " c" not in text[-3:]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<nav>n</nav><article class="post has-sidebar"><h1>T</h1><p>One.</p></article>', "T One."),
+        ('<article class="post category-social"><p>One.</p></article><aside>a</aside>', "One."),
+        ('<div class="sidebar">s</div><article class="sidebar comments" id="notice"><p>One.</p></article>', "One."),
+        ('<div class="content with-sidebar"><p>One.</p></div><div class="site-footer">f</div>', "One."),
+        ('<article><div class="entry-header"><h1>T</h1></div><h2 class="section-header">S</h2><p>One.</p></article>', "T S One."),
+        ('<section class="widget"><article><p>One.</p></article><div class="ad">a</div></section>', "One."),
+        ('<main><h1>T</h1><section class="sidebar"><article>One.</article></section></main>', "T One."),
+        ('<main><p>One.</p><section class="comments"><article>c</article></section></main>', "One."),
+        ('<article>One.</article><div class="comments"><article>c</article></div><div class="sidebar"><article>t</article></div>', "One."),
+        ('<article><p class="notice">Note<p>Text.<p>More.</article>', "Text. More."),
+        ('<article><div><p class="notice">Note</div>Text.</article>', "Text."),
+        ('<article><ul><li class="ad">a<ul><li>b</ul><li>One.</ul><p>Two.</article>', "One. Two."),
+        ('<article><table><tr><td class="ad">a<td>One.<tr class="promo"><td>b<tr><td>Two.</table></article>', "One. Two."),
+        ('<article><div>One.<div class="ad"><b>a</div></div>Two.</article>', "One. Two."),
+        ('<div class="menu"><article>One.', "One."),
+    ],
+)
+def test_main_text_is_not_lost_to_class_words_or_open_ends(page, text):
+    assert extract.main_text(f"<html><body>{page}</body></html>") == text
+
+
 def test_gaps_and_surges():
     assert extract.between_surge_and_dive([5, 0, 0, 0, 90, 1, 0, 0, 0, 4], 86) == [(2, 6)]
     assert extract.between_surge_and_dive([], 1) == []
