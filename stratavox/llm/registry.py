@@ -180,5 +180,5 @@ def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's licences: the best match, its coefficient, and all that were found."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licences.scan(docs).drop("text")
+    found = licences.scan(docs, windows=True).drop("text")
     return found.select("doc_id", "licence", F.round("dice", 6).alias("dice"), "n_matches", F.array_join("licences", ",").alias("licences"))

@@ -316,6 +316,61 @@ def test_a_licence_over_several_lines_is_found(spark):
     assert by_id(licences.scan(table(spark, [text])))[0].licence == "ISC"
 
 
+def commented(text):
+    words = text.split()
+    return "/*\n * The Licence\n *\n" + "".join(f" * {' '.join(words[i : i + 11])}\n" for i in range(0, len(words), 11)) + " *\n */\nint x;"
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Copyright 2024 Example Corp. All rights reserved.", ("proprietary", 1.0, ["proprietary"])),
+        ("The text was released under the MIT License. It was written in spring.", ("MIT", 1.0, ["MIT"])),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", ("GPL-2.0", 1.0, ["GPL-2.0"])),
+        ("x = 1  # SPDX-License-Identifier: BSD-2-Clause and more words", ("BSD-2-Clause", 1.0, ["BSD-2-Clause"])),
+        (commented(licences.TEXTS["MIT"]), ("MIT", 1.0, ["MIT"])),
+        (commented("Copyright (c) X. All rights reserved. " + licences.TEXTS["BSD-2-Clause"]), ("BSD-2-Clause", 1.0, ["BSD-2-Clause", "proprietary"])),
+        ("prose " * 300 + licences.TEXTS["AGPL-3.0"], ("AGPL-3.0", 1.0, ["AGPL-3.0"])),
+        (licences.TEXTS["Apache-2.0"] + "\n\nParts were released under the MIT License by others.", ("Apache-2.0", 1.0, ["Apache-2.0", "MIT"])),
+        ("this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software "
+         "foundation; either version 2 of the license, or (at your option) any later version. it has words after that.", ("GPL-2.0", 0.9, ["GPL-2.0"])),
+        ("All rights are said to be reserved, and the license of the work is under discussion.", (None, 0.0, [])),
+    ],
+)
+def test_licences_between_lines_and_paragraphs_are_found(text, expected):
+    found = licences.scan_text(text, licences.compile_templates(licences.TEMPLATES), 0.8)
+    assert (found[0], round(found[1], 1), found[3]) == expected
+
+
+def test_windows_reach_the_query_columns(spark):
+    found = by_id(licences.scan(table(spark, ["It was released under the MIT License. It grew."]), windows=True))[0]
+    assert (found.licence, found.dice, found.n_matches, found.licences) == ("MIT", 1.0, 1, ["MIT"])
+
+
+def test_windows_equal_brute_force():
+    rnd = random.Random(16)
+    templates = [(f"L{k}", " ".join(rnd.choice("abcde") for _ in range(rnd.choice([1, 2, 4, 7, 12])))) for k in range(12)]
+    compiled = licences.compile_templates(templates)
+    for _ in range(200):
+        words = [rnd.choice("abcdefg") for _ in range(rnd.randrange(30))]
+        for _ in range(rnd.randrange(3)):
+            place = rnd.randrange(len(words) + 1)
+            words[place:place] = rnd.choice(templates)[1].split()
+        every = []
+        for k, (_, template) in enumerate(templates):
+            size = min(len(template.split()), len(words))
+            for start in range(len(words) - size + 1 if size else 0):
+                mine, other = licences.bigrams(words[start : start + size]), licences.bigrams(template.split())
+                dice = 2 * len(mine & other) / (len(mine) + len(other))
+                if dice >= 0.8:
+                    every.append((-len(mine & other), -dice, start, f"L{k}", k, start + size))
+        kept = []
+        for less, dice, start, _, k, end in sorted(every):
+            if not any(a < end and start < b and len(compiled.sets[k] & compiled.sets[o]) >= 0.8 * compiled.sizes[k] for a, b, _, o, _ in kept):
+                kept.append((start, end, -dice, k, -less))
+        assert compiled.windows(words, 0.8) == kept, words
+
+
 # 8: HTML
 
 
