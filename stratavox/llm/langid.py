@@ -30,6 +30,8 @@ SLOT_BITS, PROBES = 20, 3
 #: An n-gram belongs to each language in which it is at least this often as frequent as in its most frequent one.
 SHARE = 0.5
 UNKNOWN = "und"
+#: Rows of a language, if it has them, that are learned from however many languages there are.
+LEAST_EACH = 200
 
 
 @dataclass(frozen=True)
@@ -169,10 +171,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def rows_each(counts: list[int], most: int) -> int:
+    """The largest bound for each language with which all languages together have at most ``most`` rows, but ``LEAST_EACH`` at least."""
+    left = most
+    for k, n in enumerate(sorted(counts)):
+        each = left // (len(counts) - k)
+        if n > each:
+            return max(each, LEAST_EACH)
+        left -= n
+    return max(counts, default=LEAST_EACH)
+
+
 def training_rows(docs: DataFrame, most: int = 20_000) -> DataFrame:
-    """About ``most`` labelled documents at most, none of them held out, picked by a hash of the id; null ids teach nothing."""
+    """Labelled documents, none of them held out, picked by a hash of the id; null ids teach nothing.
+
+    Up to ``most`` rows all are taken. Beyond, about ``rows_each`` of each
+    language, and all rows of a language that has fewer; the row of the smallest
+    hash is always among them, so every labelled language is learned.
+    """
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.select("doc_id").count()
-    if total <= most:
+    place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 48))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
+    if sum(r.n for r in counts) <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * most / total))
+    each = rows_each([r.n for r in counts], most)
+    limits = [(r.lang, max((1 << 48) * min(each, r.n) // r.n, r.first + 1)) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(limits, "lang string, _below long")
+    return rows.join(F.broadcast(bounds), "lang").where(place < F.col("_below")).select(*docs.columns)

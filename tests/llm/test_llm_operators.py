@@ -455,6 +455,21 @@ def test_bit_slices_equal_one_filter_for_each_language(spark):
     assert shares[0, 1] > 0.99 and shares[1, 0] > 0.99 and shares[0, 0] < 0.1
 
 
+def test_every_language_is_learned_beyond_the_bound(spark):
+    docs = spark.range(60_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 6_000 == 0, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440").otherwise("the thing there").alias("text"),
+        F.when(F.col("id") % 6_000 == 0, "rare").when(F.col("id") % 5 == 0, "de").otherwise("en").alias("lang"),
+    )
+    usable = {r.lang: r["count"] for r in docs.where(~langid.held_out(F.col("doc_id"))).groupBy("lang").count().collect()}
+    picked = langid.training_rows(docs, 1_000)
+    found = {r.lang: r["count"] for r in picked.groupBy("lang").count().collect()}
+    assert picked.columns == docs.columns and found["rare"] == usable["rare"] < 11
+    assert all(350 < found[x] < 650 for x in ("de", "en"))
+    assert set(langid.fit(picked).languages) == {"de", "en", "rare"}
+    assert langid.rows_each([3, 10, 5_000, 9_000], 1_013) == 500 and langid.rows_each([900] * 50, 1_000) == langid.LEAST_EACH
+
+
 # 10: secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
