@@ -1,12 +1,15 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
-A document's set holds its distinct word shingles. Documents that are alike are
-put into groups: all that share one of their rarest shingles are compared with
-one of them, and what passes falls together. The matrix then says which groups
-can still hold partners of a document outside: it lists groups by the shingles
-by which any partner must be found, each group's union of shingles (as bits)
-bounds the overlap with a query, and only groups whose bound is high enough are
-opened. What is left is decided on the whole sets.
+A document's set holds its distinct word shingles. A set is cut into parts by the
+hash of its shingles, into so many that two sets which reach the coefficient must
+have some parts in common, shingle for shingle. Each document lists as many of its
+rarest parts as make sure that any partner lists one of them too; such a part is a
+token. Documents that are alike are put into groups: all that share a token are
+compared with one of them, and what passes falls together. The matrix then says
+which groups can still hold partners of a document outside: it lists groups by
+their tokens, each group's union of shingles (as bits) bounds the overlap with a
+query, and only groups whose bound is high enough are opened. What is left is
+decided on the whole sets.
 
 No task ever holds the pairs within a group: copies are one set, a member meets
 its group's leader once, and between groups only qualifying ones are opened.
@@ -15,8 +18,7 @@ its group's leader once, and between groups only qualifying ones are opened.
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,14 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.components import components
 from stratavox.llm.tables import forget, settle, small_batches
-from stratavox.llm.words import SPACE_WORDS, pieces, shingle_sets, word_hashes, word_spans
+from stratavox.llm.words import SPACE_WORDS, mix, pieces, shingle_sets, word_hashes, word_spans
 
-#: Counters of the frequency sketch, and the parts in which its sums are shuffled.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+#: Counters of the frequency sketch, bits of the map of shared tokens, and the parts in which such arrays are shuffled.
+SKETCH_BITS, MAP_BITS, ARRAY_PARTS = 20, 25, 64
 #: Documents of one group at most; a larger set of like documents becomes several groups.
 GROUP = 64
 #: Ids of documents (8 bytes each) that are broadcast at most.
-FEW_IDS = 200_000
+FEW_IDS = 1_000_000
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -43,40 +45,67 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(word_hashes(data, starts, ends), counts, n)
 
 
+def _gathered(rows: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], size: int, dtype: type, wide: type, join: np.ufunc) -> np.ndarray:
+    """One array of ``size`` over all rows: each task fills one of its own, and they are joined by parts in two steps.
+
+    What any task or the driver gets is bounded by the array's size, whatever the number of tasks.
+    """
+    width = size // ARRAY_PARTS
+    small, large = np.dtype(dtype).itemsize * width, np.dtype(wide)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, dtype)
+        fill(batches, own)
+        task = TaskContext.get().partitionId() % 1024
+        for k in range(ARRAY_PARTS):
+            part = own[k * width : (k + 1) * width]
+            if part.any():
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "task", "array"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width, large)
+        for x in frame["array"]:
+            join(total, np.frombuffer(x, dtype if len(x) == small else large), out=total)
+        return frame.iloc[:1].assign(array=[total.tobytes()])
+
+    schema = "part int, task int, array binary"
+    parts = rows.mapInArrow(run, schema).groupBy("part", "task").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
+    whole = np.zeros(size, large)
+    for row in parts.collect():
+        whole[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["array"], large)
+    return whole
+
+
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents hold the shingles that fall on each counter, over all documents.
+    """How many documents hold the shingles that fall on each counter of a sketch, over all documents.
 
-    Each task counts into one array of fixed size; arrays are added by parts in
-    two steps, so what any task or the driver gets is bounded by the sketch.
+    A shingle that a fixed share of all documents holds stands out however many documents there are.
     """
-    size = 1 << SKETCH_BITS
-    width = size // SKETCH_PARTS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(size, np.int32)
+    def fill(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> None:
         for batch in batches:
             for one in _sets(batch.column(0), n):
-                np.add.at(sketch, (one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        task = TaskContext.get().partitionId()
-        if sketch.any():
-            parts = [sketch[k * width : (k + 1) * width].tobytes() for k in range(SKETCH_PARTS)]
-            yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([task % 1024] * SKETCH_PARTS, pa.int32()), pa.array(parts, pa.binary())], ["part", "task", "counts"])
+                np.add.at(own, (one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
-        for x in frame["counts"]:
-            total += np.frombuffer(x, np.int64 if len(x) == 8 * width else np.int32)
-        return frame.iloc[:1].assign(counts=[total.tobytes()])
-
-    schema = "part int, task int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema)
-    parts = parts.groupBy("part", "task").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
-    sketch = np.zeros(size, np.int64)
-    for row in parts.collect():
-        sketch[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
+    sketch = _gathered(docs.select("text"), fill, 1 << SKETCH_BITS, np.int32, np.int64, np.add)
     return np.minimum(sketch, (1 << 32) - 1).astype(np.uint32)
 
 
+def _map_places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = (tokens & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+    return at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+
+
+def _token_map(shared: DataFrame) -> np.ndarray:
+    """Shared tokens as a map of bits of fixed size: it passes every one of them, and few others while they are few."""
+
+    def fill(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> None:
+        for batch in batches:
+            np.bitwise_or.at(own, *_map_places(batch.column(0).to_numpy().view(np.uint64)))
+
+    return _gathered(shared.select("token"), fill, 1 << (MAP_BITS - 3), np.uint8, np.uint8, np.bitwise_or)
+
+
 def _bits(one: np.ndarray) -> np.ndarray:
     """A set as bits, four to eight for each shingle: a power of two of them, so that a longer row folds onto a shorter one."""
     size = 1 << max(6, int(4 * len(one) - 1).bit_length())
@@ -96,27 +125,84 @@ def _most_shared(query: np.ndarray, size: int, union: np.ndarray) -> int:
     return size - int(np.bitwise_count(_folded(query, words) & ~_folded(union, words)).sum())
 
 
+def _tokens(one: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens of a sorted set; ``seen`` says how often each shingle occurs. Sets that reach the coefficient and aren't equal share one.
+
+    Sizes fall into levels, each twice as large as the one before. A pair meets in the larger set's level, so a set lists
+    tokens for its own level and for those that larger partners can be in. Two sets of sizes a and b that reach the
+    coefficient differ in h <= (a + b) (1 - t) / (1 + t) shingles. Of the p parts of a level, h at most then differ, so
+    any h + 1 that come first in an order which both sets share (rarest parts first) have an equal one among them.
+    """
+    size, found = len(one), []
+    most = size * 100 // percent
+    level = max(size, 1).bit_length() - 1
+    while 1 << level <= most and size:
+        top = (2 << level) - 1
+        differ = (100 - percent) * (size + min(top, most)) // (100 + percent)
+        if differ:
+            parts = 3 * ((100 - percent) * 2 * top // (100 + percent) + 1) // 2
+            part = ((one >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+            place, least = part[starts], np.minimum.reduceat(seen, starts)
+            sums = mix(np.add.reduceat(one, starts))
+            if len(starts) <= differ:  # empty parts come last
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), place)
+                place, sums = np.concatenate([place, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+                least = np.concatenate([least, np.full(len(empty), np.iinfo(seen.dtype).max, seen.dtype)])
+            with np.errstate(over="ignore"):
+                tokens = mix(sums + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
+            found.append(tokens[np.lexsort((tokens, least))[: differ + 1]])
+        level += 1
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    bounds = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+
+
 def _profiles(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, size, digest, bits, rare): each document's set by size, digest and bits, and the rarest shingles, one of which any partner shares."""
+    """(doc_id, size, digest, bits, tokens): each document's set by size, digest and bits, and the tokens, one of which any partner shares."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, bits, rare, bounds = [], [], [], [], [0]
+            sizes, digests, bits, tokens = [], [], [], []
             for one in _sets(batch.column(1), n):
-                seen = shared.value[(one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                least = len(one) - -(-percent * len(one) // 100) + 1 if len(one) else 0
-                order = np.argsort((seen << np.uint64(32)) | (one >> np.uint64(32)), kind="stable")[:least]
                 sizes.append(len(one))
                 digests.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
                 bits.append(_bits(one).tobytes())
-                rare.append(one[order])
-                bounds.append(bounds[-1] + least)
-            flat = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), lists], ["doc_id", "size", "digest", "bits", "rare"])
+                tokens.append(_tokens(one, shared.value[(one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], percent))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), _lists(tokens)]
+            yield pa.record_batch(columns, ["doc_id", "size", "digest", "bits", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, digest binary, bits binary, tokens array<long>")
+
+
+def _postings(profiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, doc, size): of each class's first document, the tokens that other documents list too.
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, digest binary, bits binary, rare array<long>")
+    Tokens are counted first. A map of the shared ones of fixed size then takes nearly all others out where the documents
+    lie, so that few rows are shuffled by document; those that it passes wrongly share a token with nobody.
+    """
+    counts = profiles.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    shared = settle(counts.where("n > 1").select("token"), "shared")
+    passed = profiles.sparkSession.sparkContext.broadcast(_token_map(shared))
+    forget(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            flat, bounds = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            at, bit = _map_places(flat)
+            keep = (passed.value[at] & bit) != 0
+            kept = np.concatenate([[0], np.cumsum(keep)])[bounds]
+            lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(flat[keep].view(np.int64)))
+            yield pa.record_batch([batch.column(0), batch.column(1), lists], ["doc", "size", "tokens"]).filter(pa.array(np.diff(kept) > 0))
+
+    rows = profiles.where("size > 0 AND doc_id IS NOT NULL").select("doc_id", "size", "tokens").mapInArrow(run, "doc long, size long, tokens array<long>")
+    return settle(rows.join(classes, "doc", "leftsemi").select(F.explode("tokens").alias("token"), "doc", "size"), "postings")
 
 
 def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
@@ -193,16 +279,13 @@ def _between_groups(docs: DataFrame, postings: DataFrame, bits: DataFrame, teste
     """Links between documents of different components, through the token-group matrix; None if no group qualifies by its tokens."""
     known = labels.select(F.col("node").alias("doc"), "component")
     rows = postings.join(known, "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    # A pair's overlap is at most what either still has from its first shared shingle on; the rarest come first.
-    rest = F.max(F.col("size") - F.col("place")).alias("rest")
-    cells = rows.groupBy("token", "c").agg(F.min("size").alias("low"), F.max("size").alias("high"), rest)
+    cells = rows.groupBy("token", "c").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     shared = cells.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     cells = settle(cells.join(shared, "token", "leftsemi"), "cells")
     x, y = cells.alias("x"), cells.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c"))
     sizes = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
-    enough = (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.low") + F.col("y.low"))
-    pairs = x.join(y, meet & sizes & enough).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    pairs = x.join(y, meet & sizes).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     # Two documents of no component that were compared already need no second look.
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     lone = labels.select("component").distinct()
@@ -265,19 +348,18 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     what links with any of them may be joined through it. A row with a null id
     gets a null component.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        return _joined(docs, n, percent)
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     profiles = settle(_profiles(docs, n, percent, frequencies(docs, n)), "profiles")
     classes = profiles.where("size > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"))
     classes = settle(classes, "classes")
-    firsts = profiles.join(classes, profiles["doc_id"] == classes["doc"], "leftsemi").select(F.col("doc_id").alias("doc"), "size", F.posexplode("rare").alias("place", "token"))
-    # A shingle that only one class lists leads nowhere: few rows are left for all that follows.
-    often = firsts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    # Sizes of one level can reach the coefficient with each other.
-    step = math.log(100 / percent) if percent < 100 else 1e-12
-    postings = settle(firsts.join(often, "token", "leftsemi").withColumn("level", F.floor(F.log(F.col("size")) / step)), "postings")
-    leaders = postings.groupBy("token", "level").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = postings.join(leaders, ["token", "level"]).where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    postings = _postings(profiles, classes)
+    leaders = postings.groupBy("token").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").drop("last")
+    star = postings.join(leaders, "token").where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     tested = settle(star.distinct(), "star")
     bits = profiles.select(F.col("doc_id").alias("doc"), "size", "bits").where("doc IS NOT NULL AND size > 0")
     links = _linked(docs, tested, bits, n, percent)
@@ -285,8 +367,12 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = _between_groups(docs, postings, bits, tested, labels, n, percent)
     forget(postings, tested)
     if more is not None and not more.isEmpty():
-        labels = settle(components(links.unionByName(more)), "labels")
+        merged = settle(components(links.unionByName(more)), "labels")
+        forget(labels, more)
+        labels = merged
     found = profiles.select("doc_id", "size", "digest").join(classes, "digest", "left")
     found = found.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("size") > 0, F.col("doc")), "doc_id"))
-    return found.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
+    found = settle(found.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id")), "components")
+    forget(profiles, classes, links, labels)
+    return found
