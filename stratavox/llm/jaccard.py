@@ -253,10 +253,8 @@ def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return whole.select("a", "b", "x", "m", "y", "k").mapInArrow(run, "a long, b long")
 
 
-def _linked(docs: DataFrame, candidates: DataFrame, bits: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b) those whose Jaccard coefficient is at least ``percent`` / 100; whole sets are made only where bits allow it."""
-    candidates = settle(candidates, "candidates")
-    pairs = settle(_possible(candidates, _only(bits, _ends(candidates)), percent), "possible")
+def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of the settled pairs (a, b) those whose Jaccard coefficient is at least ``percent`` / 100, by their whole sets."""
     sets = _set_table(docs, _ends(pairs), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,69 +269,80 @@ def _linked(docs: DataFrame, candidates: DataFrame, bits: DataFrame, n: int, per
     right = sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     found = settle(whole.mapInArrow(run, "a long, b long"), "linked")
-    forget(sets, pairs, candidates)
+    forget(sets, pairs)
     return found
 
 
+def _open_groups(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents (a, b) of different components that pairs of groups (``x``, ``y``: their members) may hold, by bits.
+
+    A group's union bounds what each document of the other can share with any of its members. Members are looked at one
+    by one, as bits, only for the documents whose bound is high enough.
+    """
+
+    def fold(rows: list[np.ndarray], words: int) -> np.ndarray:
+        return np.stack([_folded(x, words) for x in rows])
+
+    def meet(x: list[dict], y: list[dict]) -> Iterator[tuple[int, int]]:
+        xs, ys = ([np.frombuffer(r["bits"], np.uint64) for r in side] for side in (x, y))
+        words = min(map(len, xs + ys))
+        left, right = fold(xs, words), fold(ys, words)
+        union = np.bitwise_or.reduce(right, axis=0)
+        docs, owners, sizes = (np.array([r[k] for r in y], np.int64) for k in ("doc", "c", "size"))
+        for query, whole, row in zip(x, xs, left, strict=True):
+            most = query["size"] - int(np.bitwise_count(row & ~union).sum())
+            if 100 * most < percent * max(query["size"], int(sizes.min())):
+                continue
+            both = np.minimum(query["size"] - np.bitwise_count(row & ~right).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(right & ~row).sum(axis=1, dtype=np.int64))
+            likely = (100 * both >= percent * (query["size"] + sizes - both)) & (owners != query["c"])
+            for k in np.flatnonzero(likely).tolist():
+                shared = min(_most_shared(whole, query["size"], ys[k]), _most_shared(ys[k], int(sizes[k]), whole))
+                if 100 * shared >= percent * (query["size"] + int(sizes[k]) - shared):
+                    yield min(query["doc"], int(docs[k])), max(query["doc"], int(docs[k]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                found = sorted(set(meet(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())))
+                yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return pairs.select("x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def _between_groups(docs: DataFrame, postings: DataFrame, bits: DataFrame, tested: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Links between documents of different components, through the token-group matrix; None if no group qualifies by its tokens."""
+    """Links between documents of different components, through the token-group matrix; None if it leaves no pair to test.
+
+    Groups are blocks of a component, or of single documents that have their most frequent token in common. A row of the
+    matrix is a pair of groups that share a token, so a token that many documents list gives few rows.
+    """
     known = labels.select(F.col("node").alias("doc"), "component")
     rows = postings.join(known, "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    cells = rows.groupBy("token", "c").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    shared = cells.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    cells = settle(cells.join(shared, "token", "leftsemi"), "cells")
+    shared = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("token", "n")
+    rows = settle(rows.join(shared, "token"), "cells")
+    owner = F.when(F.col("component").isNull(), F.max_by("token", F.struct("n", "token"))).otherwise(F.first("c"))
+    members = rows.groupBy("doc", "c", "component").agg(owner.alias("owner")).withColumn("lone", F.col("component").isNull())
+    counts = members.groupBy("lone", "owner").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    members = members.join(counts, ["lone", "owner"]).select("doc", "c", "lone", F.concat_ws(":", "lone", "owner", block).alias("g"))
+    members = settle(members, "members")
+    cells = rows.select("token", "doc", "size").join(members, "doc").groupBy("token", "g").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("c").alias("c"), F.first("lone").alias("lone"))
+    cells = settle(cells, "cells")
     x, y = cells.alias("x"), cells.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c"))
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.g") <= F.col("y.g")) & (F.col("x.lone") | F.col("y.lone") | (F.col("x.c") != F.col("y.c")))
     sizes = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
-    pairs = x.join(y, meet & sizes).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    # Two documents of no component that were compared already need no second look.
+    pairs = settle(x.join(y, meet & sizes).where("x.g < y.g OR x.lone").select(F.col("x.g").alias("gx"), F.col("y.g").alias("gy")).distinct(), "pairs")
+    bits = _only(bits, members.select("doc").distinct())
+    matrix = members.join(bits, "doc").groupBy("g").agg(F.collect_list(F.struct("doc", "c", "size", "bits")).alias("members"))  # a block's
+    matrix = settle(matrix, "matrix")
+    opened = pairs.join(matrix.select(F.col("g").alias("gx"), F.col("members").alias("x")), "gx").join(matrix.select(F.col("g").alias("gy"), F.col("members").alias("y")), "gy")
+    # What was compared already needs no second look.
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    lone = labels.select("component").distinct()
-    done = done.join(lone, done["a"] == lone["component"], "leftanti").join(lone, done["b"] == lone["component"], "leftanti")
-    pairs = settle(pairs.join(done, ["a", "b"], "leftanti"), "pairs")
-    forget(cells)
-    if pairs.isEmpty():
+    left = settle(_open_groups(opened, percent).join(done, ["a", "b"], "leftanti"), "possible")
+    forget(rows, members, cells, pairs, matrix)
+    if left.isEmpty():
+        forget(left)
         return None
-    # The smaller side's documents are the queries; the other side's groups are bounded and, if they qualify, opened.
-    involved = pairs.select(F.col("a").alias("component")).unionByName(pairs.select(F.col("b").alias("component"))).distinct()
-    members = involved.join(labels, "component", "left").select("component", F.coalesce("node", "component").alias("doc"))
-    members = members.unionByName(involved.select("component", F.col("component").alias("doc"))).distinct()
-    counts = members.groupBy("component").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / GROUP)
-    members = settle(members.join(counts, "component").withColumn("part", F.pmod(F.xxhash64("doc"), blocks)), "members")
-
-    def union(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [np.frombuffer(x, np.uint64) for x in frame["bits"]]
-        words = min(map(len, rows))
-        every = np.bitwise_or.reduce([_folded(x, words) for x in rows], axis=0)
-        row = {"component": frame["component"].iloc[0], "part": frame["part"].iloc[0], "union": every.tobytes(), "least": frame["size"].min()}
-        return pd.DataFrame([row])
-
-    bits = settle(_only(bits, members.select("doc").distinct()), "bits")
-    rows = members.join(bits, "doc").select("component", "part", "bits", "size", "n")
-    alone = rows.where("n = 1").select("component", "part", F.col("bits").alias("union"), F.col("size").alias("least"))
-    many = rows.where("n > 1").drop("n").groupBy("component", "part")
-    matrix = alone.unionByName(many.applyInPandas(union, "component long, part long, union binary, least long"))
-    n_of = counts.select("component", "n")
-    sided = pairs.join(n_of.withColumnsRenamed({"component": "a", "n": "na"}), "a").join(n_of.withColumnsRenamed({"component": "b", "n": "nb"}), "b")
-    few = F.col("na") <= F.col("nb")
-    sided = sided.select(F.when(few, F.col("a")).otherwise(F.col("b")).alias("q"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("component"))
-    queries = sided.join(members.select(F.col("component").alias("q"), "doc"), "q").select("doc", "component")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, size, y, least in zip(*(batch.column(c) for c in ("bits", "size", "union", "least")), strict=True):
-                most = _most_shared(np.frombuffer(x.as_py(), np.uint64), size.as_py(), np.frombuffer(y.as_py(), np.uint64))
-                keep.append(100 * most >= percent * max(size.as_py(), least.as_py()))
-            yield batch.select(["doc", "component", "part"]).filter(pa.array(keep, pa.bool_()))
-
-    met = queries.join(matrix, "component").join(bits, "doc").select("doc", "component", "part", "bits", "size", "union", "least")
-    opened = met.mapInArrow(bound, "doc long, component long, part long")
-    opened = opened.join(members.select("component", "part", F.col("doc").alias("b")), ["component", "part"]).select(F.col("doc").alias("a"), "b")
-    found = _linked(docs, opened, bits, n, percent)
-    forget(pairs, members, bits)
-    return found
+    return _linked(docs, left, n, percent)
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -362,7 +371,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     star = postings.join(leaders, "token").where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     tested = settle(star.distinct(), "star")
     bits = profiles.select(F.col("doc_id").alias("doc"), "size", "bits").where("doc IS NOT NULL AND size > 0")
-    links = _linked(docs, tested, bits, n, percent)
+    links = _linked(docs, settle(_possible(tested, _only(bits, _ends(tested)), percent), "possible"), n, percent)
     labels = settle(components(links), "labels")
     more = _between_groups(docs, postings, bits, tested, labels, n, percent)
     forget(postings, tested)
