@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -290,20 +290,17 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return batch.append_column(name, column)
 
 
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    fields = [T.StructField(f.name, kind) if f.name == name else f for f in df.schema.fields]
-    return T.StructType(fields if name in df.columns else [*fields, T.StructField(name, kind)])
+def _schema(df: DataFrame | T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    fields = df.fields if isinstance(df, T.StructType) else df.schema.fields
+    made = [T.StructField(f.name, kind) if f.name == name else f for f in fields]
+    return T.StructType(made if any(f.name == name for f in fields) else [*made, T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """Add the token ids of column ``text`` as an array; a column of that name is replaced.
+Batches = Iterator[pa.RecordBatch]
 
-    The whole text is encoded as the tokenizer file at ``path`` says, special
-    tokens in it included. A null or empty text gives an empty array. Rows, their
-    order in a partition and all other columns stay as they are.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(path: str, text: str, ids: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         encoder = Encoder(vocabulary(path))
         for batch in batches:
             for row, texts in text_runs(batch.column(text)):
@@ -311,16 +308,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
                 made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
                 yield _with(batch.slice(row, len(texts)), ids, made)
 
-    return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType())))
-
-
-def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
-    """Add the text of token ids: the tokens joined by spaces, as the file names no decoder; special tokens stay.
+    return run
 
-    Null or empty ids give an empty text; ids outside the vocabulary are left out.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoding(path: str, ids: str, decoded: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         tokens = token_list(path)
         last = len(tokens)
         for batch in batches:
@@ -335,4 +327,34 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "dec
                 out = [" ".join(names[b - n : b] if good else filter(None, names[b - n : b])) for n, b in zip(sizes.tolist(), ends, strict=True)]
                 yield _with(part, decoded, pa.array(out, pa.string()))
 
-    return df.mapInArrow(run, _schema(df, decoded, T.StringType()))
+    return run
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """Add the token ids of column ``text`` as an array; a column of that name is replaced.
+
+    The whole text is encoded as the tokenizer file at ``path`` says, special
+    tokens in it included. A null or empty text gives an empty array. Rows, their
+    order in a partition and all other columns stay as they are.
+    """
+    return df.mapInArrow(_encoding(path, text, ids), _schema(df, ids, T.ArrayType(T.IntegerType())))
+
+
+def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """Add the text of token ids: the tokens joined by spaces, as the file names no decoder; special tokens stay.
+
+    Null or empty ids give an empty text; ids outside the vocabulary are left out.
+    """
+    return df.mapInArrow(_decoding(path, ids, decoded), _schema(df, decoded, T.StringType()))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass over each partition, in one Python worker; column ``text`` goes."""
+    encoding, decoding = _encoding(path, text, ids), _decoding(path, ids, decoded)
+
+    def coded(batches: Batches) -> Batches:
+        for batch in encoding(batches):
+            yield batch.drop_columns([text])
+
+    schema = _schema(_schema(df.drop(text), ids, T.ArrayType(T.IntegerType())), decoded, T.StringType())
+    return df.mapInArrow(lambda batches: decoding(coded(batches)), schema)

@@ -205,10 +205,19 @@ def _postings(profiles: DataFrame, classes: DataFrame) -> DataFrame:
     return settle(rows.join(classes, "doc", "leftsemi").select(F.explode("tokens").alias("token"), "doc", "size"), "postings")
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids`` for a join: few go to where the rows are, more than ``FEW_IDS`` are joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``table`` whose ``doc`` is one of ``ids``: few ids go to where the rows are, more than ``FEW_IDS`` are joined by a shuffle."""
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    return table.join(F.broadcast(ids) if few else ids, "doc", "leftsemi")
+    """The rows of ``table`` whose ``doc`` is one of ``ids``."""
+    return table.join(_few(ids), "doc", "leftsemi")
+
+
+def without(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``table`` whose ``key`` is none of the column of that name in ``ids``; rows with a null key stay."""
+    return table.join(_few(ids), key, "leftanti").select(*table.columns)
 
 
 def _set_table(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:

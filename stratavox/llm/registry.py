@@ -28,7 +28,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count and the digests of its ids and of the text decoded from them."""
     path = public_tokenizers.path(TOKENIZER)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.round_trip(docs, path)
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
