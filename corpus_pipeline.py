@@ -28,11 +28,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of a coefficient of 0.8 on 5-word shingles join, the one with the smallest id; null ids stay."""
+    """Of each group of documents that links of a coefficient of 0.8 on 5-word shingles join, the one with the smallest id.
+
+    Null ids, null and empty texts stay. Of rows that repeat an id one stays, the first by their columns.
+    """
     groups = jaccard.join_components(docs, n=5, percent=80)
-    kept = settle(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    one = docs.join(kept, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    repeated = settle(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone = groups.where("doc_id != component_id").select("doc_id").unionByName(repeated)
+    kept = jaccard.without(docs, gone.distinct(), "doc_id")
+    if repeated.isEmpty():
+        return kept
+    leaders = groups.where("doc_id = component_id").select("doc_id").join(repeated, "doc_id", "leftsemi").distinct()
+    rows = docs.join(leaders, "doc_id", "leftsemi")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("first"))
+    return kept.unionByName(first.select("first.*"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +60,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, their number, and the digest of the text decoded from them."""
     path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.round_trip(docs, path)
     return coded.select(
         "doc_id",
         "lang",
