@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from stratavox.llm.words import Batches, returning
+
 #: Characters of one run of texts, and remembered chunks after which a task forgets them all.
-RUN_CHARS = 3 << 20
+RUN_CHARS = 1 << 20
 MEMORY_CHUNKS = 150_000
 
 # Fixed values of the tokenizer's format: its pattern for lower-case ASCII, and white space that str.split() knows but \s does not.
@@ -296,9 +298,6 @@ def _schema(df: DataFrame | T.StructType, name: str, kind: T.DataType) -> T.Stru
     return T.StructType(made if any(f.name == name for f in fields) else [*made, T.StructField(name, kind)])
 
 
-Batches = Iterator[pa.RecordBatch]
-
-
 def _encoding(path: str, text: str, ids: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         encoder = Encoder(vocabulary(path))
@@ -337,7 +336,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
     tokens in it included. A null or empty text gives an empty array. Rows, their
     order in a partition and all other columns stay as they are.
     """
-    return df.mapInArrow(_encoding(path, text, ids), _schema(df, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(returning(_encoding(path, text, ids)), _schema(df, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
@@ -345,7 +344,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "dec
 
     Null or empty ids give an empty text; ids outside the vocabulary are left out.
     """
-    return df.mapInArrow(_decoding(path, ids, decoded), _schema(df, decoded, T.StringType()))
+    return df.mapInArrow(returning(_decoding(path, ids, decoded)), _schema(df, decoded, T.StringType()))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
@@ -357,4 +356,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_i
             yield batch.drop_columns([text])
 
     schema = _schema(_schema(df.drop(text), ids, T.ArrayType(T.IntegerType())), decoded, T.StringType())
-    return df.mapInArrow(lambda batches: decoding(coded(batches)), schema)
+    return df.mapInArrow(returning(lambda batches: decoding(coded(batches))), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavox.llm.words import ALNUM_WORDS, pieces, word_hashes, word_spans
+from stratavox.llm.words import ALNUM_WORDS, pieces, returning, word_hashes, word_spans
 
 #: Bytes of text of one shard; every how manieth position is sampled; symbols of one stretch at most (longer ones overlap).
 SHARD = 2 << 20
@@ -290,5 +290,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     columns = [pa.array(x, f) for x, f in zip(found, (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())), strict=True)]
                     yield pa.record_batch([*shard.columns[: len(names)], *columns], [*names, *made])
 
-        kept = kept.mapInArrow(run, schema)
+        kept = kept.mapInArrow(returning(run), schema)
     return kept

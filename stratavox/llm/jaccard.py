@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.components import components
 from stratavox.llm.tables import forget, settle, small_batches
-from stratavox.llm.words import SPACE_WORDS, mix, pieces, shingle_sets, word_hashes, word_spans
+from stratavox.llm.words import SPACE_WORDS, mix, pieces, returning, shingle_sets, word_hashes, word_spans
 
 #: Counters of the frequency sketch, bits of the map of shared tokens, and the parts in which such arrays are shuffled.
 SKETCH_BITS, MAP_BITS, ARRAY_PARTS = 20, 25, 64
@@ -69,7 +69,7 @@ def _gathered(rows: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndar
         return frame.iloc[:1].assign(array=[total.tobytes()])
 
     schema = "part int, task int, array binary"
-    parts = rows.mapInArrow(run, schema).groupBy("part", "task").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
+    parts = rows.mapInArrow(returning(run), schema).groupBy("part", "task").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema)
     whole = np.zeros(size, large)
     for row in parts.collect():
         whole[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["array"], large)
@@ -177,7 +177,7 @@ def _profiles(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Data
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), _lists(tokens)]
             yield pa.record_batch(columns, ["doc_id", "size", "digest", "bits", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, digest binary, bits binary, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(returning(run), "doc_id long, size long, digest binary, bits binary, tokens array<long>")
 
 
 def _postings(profiles: DataFrame, classes: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _postings(profiles: DataFrame, classes: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(flat[keep].view(np.int64)))
             yield pa.record_batch([batch.column(0), batch.column(1), lists], ["doc", "size", "tokens"]).filter(pa.array(np.diff(kept) > 0))
 
-    rows = profiles.where("size > 0 AND doc_id IS NOT NULL").select("doc_id", "size", "tokens").mapInArrow(run, "doc long, size long, tokens array<long>")
+    rows = profiles.where("size > 0 AND doc_id IS NOT NULL").select("doc_id", "size", "tokens").mapInArrow(returning(run), "doc long, size long, tokens array<long>")
     return settle(rows.join(classes, "doc", "leftsemi").select(F.explode("tokens").alias("token"), "doc", "size"), "postings")
 
 
@@ -228,7 +228,7 @@ def _set_table(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array([one.tobytes() for one in _sets(batch.column(1), n)], pa.binary())], ["doc", "set"])
 
     rows = _only(docs.select(F.col("doc_id").alias("doc"), "text"), ids)
-    return settle(rows.mapInArrow(run, "doc long, set binary"), "sets")
+    return settle(rows.mapInArrow(returning(run), "doc long, set binary"), "sets")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     left = bits.select(F.col("doc").alias("a"), F.col("bits").alias("x"), F.col("size").alias("m"))
     right = bits.select(F.col("doc").alias("b"), F.col("bits").alias("y"), F.col("size").alias("k"))
     whole = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"100 * least(m, k) >= {percent} * greatest(m, k)")
-    return whole.select("a", "b", "x", "m", "y", "k").mapInArrow(run, "a long, b long")
+    return whole.select("a", "b", "x", "m", "y", "k").mapInArrow(returning(run), "a long, b long")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     left = sets.select(F.col("doc").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    found = settle(whole.mapInArrow(run, "a long, b long"), "linked")
+    found = settle(whole.mapInArrow(returning(run), "a long, b long"), "linked")
     forget(sets, pairs)
     return found
 
@@ -315,7 +315,7 @@ def _open_groups(pairs: DataFrame, percent: int) -> DataFrame:
                 found = sorted(set(meet(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())))
                 yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return pairs.select("x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("x", "y").mapInArrow(returning(run), "a long, b long").distinct()
 
 
 def _between_groups(docs: DataFrame, postings: DataFrame, bits: DataFrame, tested: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:

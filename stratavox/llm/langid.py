@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratavox.llm.bpe import runs, text_runs
-from stratavox.llm.words import mix
+from stratavox.llm.words import mix, returning
 
 #: Lengths of the n-grams; a word's start and end count as a character.
 GRAM_SIZES = (3, 4)
@@ -163,7 +163,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", least: float = 0.0
     kept = df.select(*[F.col(f"`{c}`") for c in names])
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
     schema = T.StructType([*kept.schema.fields, *made])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(returning(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

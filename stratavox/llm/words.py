@@ -6,12 +6,14 @@ its own), so the arrays of a task stay small whatever the batch holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+#: Bytes of a piece, and rows that are looked at together at most.
+PIECE, ROWS = 1 << 20, 1024
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -55,17 +57,32 @@ def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[tu
     """(first row, bytes, bounds) of runs of rows; row i of a run is bytes[bounds[i]:bounds[i + 1]]. A null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    wide = column.cast(pa.large_binary()).fill_null(b"")
-    if not len(wide):
-        return
-    offsets = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, wide.offset * 8)
-    data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] else np.zeros(0, np.uint8)
-    row = 0
-    while row < len(wide):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
-        end = min(end, len(wide))
-        yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+    for first in range(0, len(column), ROWS):
+        wide = column.slice(first, ROWS).cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, wide.offset * 8)
+        data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(wide):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+            end = min(end, len(wide))
+            yield first + row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def returning(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, which gives freed memory back to the system when a task ends: workers live on beside those of other stages."""
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
