@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's documents. All but the last return
-the columns of documents.
+the columns of documents. The first stage sets Arrow batches of 1000 rows at most
+for the session: rows are whole texts, and Python workers share an executor's memory
+with all that runs before and after them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; without a letter, or without its n-grams, they go. A null ``lang`` is filled in."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(1000, int(spark.conf.get(name, "1000")) or 1000)))
     model = langid.fit(langid.training_rows(docs))
     found = langid.identify(docs, model).where("accepted").withColumn("lang", F.coalesce("lang", "lang_pred"))
     return found.select(*docs.columns)
