@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,13 +40,16 @@ def near_pairs(queries: DataFrame, points: DataFrame, radius: float, chebyshev:
     return pairs.where(F.col("d2") < radius * radius).drop("bx", "by", "bz")
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float, grow: float = 2.0, rounds: int = 40) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float, grow: float = 2.0) -> DataFrame:
     """The ``k`` nearest points of each query, (``qid``, ``pid``, ``d2``, ``rank``); ties go to the smaller ``pid``.
 
     Queries that don't find ``k`` points within ``radius`` try again with a larger
-    one, until all have them or all points are near. Equal to brute force: what
-    lies within the radius is nearer than all that does not.
+    one, until all have them. Equal to brute force: what lies within the radius is
+    nearer than all that does not. Points and queries with a NaN are left out; a
+    radius that isn't positive, or infinite coordinates, are an error.
     """
+    if not radius > 0 or not grow > 1:
+        raise ValueError("radius must be positive and grow over 1")
     n_points = points.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).count()
     k = min(k, n_points)
     spark = queries.sparkSession
@@ -54,14 +58,14 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float, grow
         return found
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))
     left = queries.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z")))
-    for _ in range(rounds):
+    while not left.isEmpty():
+        if math.isinf(radius):
+            raise ValueError("points or queries have infinite coordinates")
         ranked = near_pairs(left, points, radius).withColumn("rank", rank).where(F.col("rank") <= k)
         ranked = settle(ranked.select("qid", "pid", "d2", "rank"), "nearest")
         full = ranked.where(F.col("rank") == k).select("qid")
         found = found.unionByName(ranked.join(full, "qid", "left_semi"))
         left = settle(left.join(full, "qid", "left_anti"), "queries")
-        if left.isEmpty():
-            break
         radius *= grow
     return found
 

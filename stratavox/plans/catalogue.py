@@ -221,7 +221,7 @@ def estimate_normals(spark, sf_dir):
 
 
 @query(
-    f""", q AS (SELECT vec_id AS qid, x+5e-2 AS x, y-3e-2 AS y, z+2e-2 AS z FROM epts WHERE vec_id % 2 = 0),
+    f""", q AS (SELECT vec_id AS qid, x+5e-2 AS x, y-3e-2 AS y, z+2e-2 AS z FROM epts),
 p AS (SELECT a.qid, b.vec_id AS pid, {_D2} AS d2, b.nx*(a.x-b.x)+b.ny*(a.y-b.y)+b.nz*(a.z-b.z) AS side FROM q a, epts b),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, pid) AS rank FROM p),
 v AS (SELECT qid, min(CASE WHEN rank = 1 THEN sqrt(d2) END) AS d, min(CASE WHEN rank = 1 THEN abs(side) END) AS s, sum(CASE WHEN side > 0 THEN 1 ELSE 0 END) AS plus, count(*) AS n FROM k WHERE rank <= 11 GROUP BY 1)
@@ -230,7 +230,7 @@ SELECT qid, round(CASE WHEN plus = n THEN 1e0 WHEN plus = 0 THEN -1e0 END * CASE
 )
 def knn_vote_sdf(spark, sf_dir):
     points = views.epts(spark, sf_dir)
-    samples = points.where("vec_id % 2 = 0").select(F.col("vec_id").alias("qid"), (F.col("x") + 0.05).alias("x"), (F.col("y") - 0.03).alias("y"), (F.col("z") + 0.02).alias("z"))
+    samples = points.select(F.col("vec_id").alias("qid"), (F.col("x") + 0.05).alias("x"), (F.col("y") - 0.03).alias("y"), (F.col("z") + 0.02).alias("z"))
     surface = points.select(F.col("vec_id").alias("pid"), "x", "y", "z", "nx", "ny", "nz")
     found = spatial.vote_sdf(samples, surface, 11, 0.05, 0.1)
     return found.select("qid", F.when(~F.isnan("sdf"), F.round("sdf", 6) + 0.0).alias("sdf"))

@@ -265,3 +265,25 @@ def test_weights_and_schedules(spark):
     rows = df.select(geo.huber_weight(F.col("x"), 1.0).alias("h"), geo.tukey_weight(F.col("x"), 1.0).alias("t")).collect()
     assert [r.h for r in rows] == [1.0, 0.25, 0.25] and [r.t for r in rows] == [0.5625, 0.0, 0.0]
     assert EPTS.shape == (8, 8, 8) and grid.Grid.over((-3.5, -0.5, -2.5), (4.5, 3.5, 5.5), 0.1).shape[1] == 40
+
+
+def test_nearest_points_are_found_however_small_the_first_radius(spark):
+    points = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(6)], "pid long, x double, y double, z double")
+    queries = spark.createDataFrame([(1, 0.2, 0.0, 0.0), (2, 900.0, 0.0, 0.0), (3, float("nan"), 0.0, 0.0)], "qid long, x double, y double, z double")
+    found = sorted((r.qid, r.pid, r.rank) for r in spatial.k_nearest(queries, points, 2, 1e-9, grow=64.0).collect())
+    assert found == [(1, 0, 1), (1, 1, 2), (2, 4, 2), (2, 5, 1)]
+    with pytest.raises(ValueError):
+        spatial.k_nearest(queries, points, 2, 0.0)
+
+
+def test_a_shared_folder_is_made_up_on_one_machine_only():
+    from types import SimpleNamespace
+
+    from stratavox.sources import shared
+
+    conf = {}
+    session = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared.shared_dir(session)
+    session.sparkContext.master = "local[4]"
+    assert shared.shared_dir(session) == conf["spark.checkpoint.dir"]
