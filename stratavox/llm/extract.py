@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 WINDOW, SURGE = 3, 86
 
 # Fixed values of HTML: elements whose text is never shown as prose, those that end a line, and those that hold no main text.
-_UNSHOWN = r"script|style|noscript|template|svg|math|head|iframe|object|canvas|audio|video|textarea|select"
+_UNSHOWN = r"script|style|noscript|template|svg|head|title|iframe|object|canvas|audio|video|textarea|select"
+# Of these, what hides all of the page if it has no end tag.
+_RAW = frozenset("script style title iframe textarea noscript".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body br button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -57,9 +60,10 @@ _ENDS = {
 }
 _OF_TABLE = frozenset("caption tbody td tfoot th thead tr".split())
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|$(?![\s\S]))", re.S)
-_HIDDEN = re.compile(rf"<({_UNSHOWN})(?=[\s>/])(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|\Z))", re.S | re.I)
+_HIDES = re.compile(rf"<(?:(!--)|({_UNSHOWN})(?=[\s>/]))", re.I)
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)")
+# The same where quotes of attributes no longer close.
+_PLAIN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[!?][^>]*>)")
 _CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -148,6 +152,19 @@ class _Open:
         return self.cut(place) if place > bound else []
 
 
+def _found_tags(page: str) -> Iterator[re.Match[str]]:
+    """The page's tags from left to right, in linear time: from the first tag on whose quotes don't close, quotes mean nothing."""
+    pattern, at, last = _TAG, 0, page.rfind(">") + 1
+    while (start := page.find("<", at, last)) >= 0:
+        tag = pattern.match(page, start, last)
+        if tag is None and pattern is _TAG and page[start + 1 : start + 3].strip("/")[:1].isalpha():
+            pattern = _PLAIN
+            tag = pattern.match(page, start, last)
+        if tag is not None:
+            yield tag
+        at = tag.end() if tag else start + 1
+
+
 def _tags(page: str) -> tuple[list[tuple[int, int, bool, list[int], int]], list[tuple[int, bool]], set[int]]:
     """The page's tags as (start of the text before, its end, whether a line ends, elements that end, element that starts or -1),
     the elements that count as (kind of aside or 0 for articles, whether it leaves a notch), and the asides that are none as they hold the article."""
@@ -175,7 +192,7 @@ def _tags(page: str) -> tuple[list[tuple[int, int, bool, list[int], int]], list[
             if count[kind] and cost < least[kind] and start < stop and not page[start:stop].isspace():
                 least[kind] = cost
 
-    for tag in _TAG.finditer(page):
+    for tag in _found_tags(page):
         start, stop, at = at, tag.start(), tag.end()
         weigh(start, stop)
         close, name, attributes = tag[1], (tag[2] or "").lower(), tag[3] or ""
@@ -208,10 +225,46 @@ def _tags(page: str) -> tuple[list[tuple[int, int, bool, list[int], int]], list[
     return tags, elements, {k for k in holders if costs[k] <= most} if floor < far else set()
 
 
+@lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}(?=[\s>/]|\Z)", re.I)
+
+
+def shown(page: str) -> str:
+    """The page without comments and without elements whose text is never shown, in one pass from left to right.
+
+    A search that found nothing is not made again, so the time is linear in the page. An element without an end tag
+    hides the rest only where HTML reads it as plain text; else just its start tag goes.
+    """
+    parts: list[str] = []
+    at, scan, without = 0, 0, set()
+    while (found := _HIDES.search(page, scan)) is not None:
+        start, name = found.start(), (found[2] or "").lower()
+        if found[1]:
+            end = page.find("-->", start + 2)  # <!--> is a whole comment
+            end = len(page) if end < 0 else end + 3
+        else:
+            close = page.find(">", found.end())
+            if close < 0:
+                break
+            end = close + 1
+            if page[close - 1] != "/":
+                after = None if name in without else _end_of(name).search(page, end)
+                if after is not None:
+                    close = page.find(">", after.end())
+                    end = len(page) if close < 0 else close + 1
+                elif name in _RAW:
+                    end = len(page)
+                else:
+                    without.add(name)
+        parts += (page[at:start], "" if found[1] else " ")
+        at = scan = end
+    return "".join([*parts, page[at:]])
+
+
 def lines_of(page: str) -> tuple[list[str], bool]:
     """The page's lines, with gaps for what is no main text, and whether tags mark an article (then all else is a gap)."""
-    page = _HIDDEN.sub(" ", _COMMENT.sub("", page))
-    page = _CUT.sub("", page)
+    page = _CUT.sub("", shown(page))
     lines: list[tuple[str, bool]] = []
     gap, notch = [("", False)] * WINDOW, [("", False)]
     parts: list[str] = []

@@ -22,7 +22,7 @@ RULES = {
     "repeated_lines": "n_lines > 4 AND 2 * n_dup_lines > n_lines",
     "symbols": "n_symbols > n_words",
     "word_length": "word_chars < 2 * n_words OR word_chars > 25 * n_words",
-    "shouting": "n_words >= 20 AND 2 * length(regexp_replace(text, '[^A-Z]+', '')) > word_chars",
+    "shouting": "n_words >= 20 AND 2 * length(regexp_replace({text}, '[^A-Z]+', '')) > word_chars",
 }
 
 
@@ -103,10 +103,11 @@ def first_rejection(rules: dict[str, str], order: list[str]) -> Column:
 def cascade(df: DataFrame, rules: dict[str, str] | None = None, text: str = "text", sample_rows: int = 1000) -> DataFrame:
     """Add the measures, ``rejected_by`` (null for a kept row) and ``kept``; columns of these names are replaced.
 
-    A predicate that is null doesn't reject. An empty table gives an empty result.
+    In a predicate ``{text}`` stands for the text column. A predicate that is null
+    doesn't reject. An empty table gives an empty result.
     """
-    rules = RULES if rules is None else rules
-    sample = measures(sample_of(df.select(F.col(text).alias("text")), sample_rows)).persist()
+    rules = {name: predicate.replace("{text}", f"`{text}`") for name, predicate in (RULES if rules is None else rules).items()}
+    sample = measures(sample_of(df.select(text), sample_rows), text).persist()
     order = order_rules(sample, rules)
     sample.unpersist()
     df = measures(df, text).drop("rejected_by", "kept")

@@ -1,8 +1,10 @@
 """Chat formatting by quotation linking, with DataFrame functions.
 
-Quoted lines are parsed by their nesting level, normalised and hashed; the
-hashes find the latest earlier message of the conversation that holds the line
-as its own. Messages then follow the messages that they answer, without quotes.
+Quoted lines are parsed by their nesting level; runs of one level are passages.
+Passages, their sentences and their lines are normalised and hashed; the hashes
+find the latest earlier message of the conversation that holds the same as its
+own, however a mail client wrapped the quote. Messages then follow the messages
+that they answer, without quotes.
 """
 
 from __future__ import annotations
@@ -15,7 +17,11 @@ from stratavox.llm.tables import forget, settle
 #: Turns of one block of the search for the latest earlier line; a key's rows are never all in one task.
 BLOCK = 1024
 
-_MARK = r"^((?:[ \t]{0,3}>)+)[ \t]?"
+# Possessive: Java matches it in a loop, so that a line of very many marks needs no stack.
+_MARK = r"^((?:[ \t]{0,3}+>)++)[ \t]?"
+#: Ends of sentences in a normalised passage, and what is hashed, the strongest last.
+_SENTENCE = r"(?<=[.!?]) "
+KINDS = ("line", "sentence", "passage")
 
 
 def level_of(line: Column) -> Column:
@@ -35,7 +41,29 @@ def _normalised(line: Column) -> Column:
 def own_text(text: Column) -> Column:
     """A message without quoted lines, and without the blank lines around what is left."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: level_of(x) == 0)
-    return F.regexp_replace(F.array_join(lines, "\n"), r"^\s*\n|\s+$", "")
+    return F.rtrim(F.regexp_replace(F.array_join(lines, "\n"), r"^\s*+(?<=\n)", ""), F.lit(" \t\n\x0b\f\r"))
+
+
+def units(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, kind, unit): the normalised lines, sentences and passages of each message, by quote level.
+
+    A passage is a run of lines of one level without a blank one, joined by single spaces. ``kind`` is a place in ``KINDS``.
+    """
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(level_of(x).alias("level"), _normalised(content_of(x)).alias("line")))
+    rows = messages.select("conv_id", "turn", F.transform(lines, lambda x: F.struct(F.when(x["line"] == "", -1).otherwise(x["level"]).alias("level"), x["line"].alias("line"))).alias("lines"))
+    rows = rows.withColumn("starts", F.expr("filter(sequence(0, size(lines) - 1), i -> i = 0 OR lines[i].level != lines[i - 1].level)"))
+    runs = "transform(starts, (s, k) -> struct(lines[s].level AS level, array_join(transform(slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s), x -> x.line), ' ') AS unit))"
+    rows = rows.withColumn("runs", F.filter(F.expr(runs), lambda x: x["level"] >= 0))
+
+    def of(kind: int, level: Column, unit: Column) -> Column:
+        return F.struct(level.alias("level"), F.lit(kind).alias("kind"), unit.alias("unit"))
+
+    every = F.concat(
+        F.transform(F.filter("lines", lambda x: x["level"] >= 0), lambda x: of(0, x["level"], x["line"])),
+        F.flatten(F.transform("runs", lambda x: F.transform(F.split(x["unit"], _SENTENCE), lambda y: of(1, x["level"], y)))),
+        F.transform("runs", lambda x: of(2, x["level"], x["unit"])),
+    )
+    return rows.select("conv_id", "turn", F.explode(every).alias("u")).select("conv_id", "turn", "u.*")
 
 
 def _latest_before(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,19 +82,19 @@ def _latest_before(rows: DataFrame, keys: list[str]) -> DataFrame:
 def parents(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn) of the messages whose outermost quote was found in an earlier message.
 
-    A quoted line belongs to the latest earlier message that has it as a line of
-    its own. The parent is the message to which most level-1 lines belong, of
-    several the latest; deeper levels decide only where level 1 is found nowhere.
+    A quoted unit belongs to the latest earlier message that has it as its own. The
+    parent is the message to which most level-1 passages belong; where none is found,
+    sentences decide, then lines; of several messages it is the latest. Deeper levels
+    decide only where level 1 is found nowhere.
     """
-    lines = messages.select("conv_id", "turn", F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.select("conv_id", "turn", level_of(F.col("line")).alias("level"), _normalised(content_of(F.col("line"))).alias("line")).where("line != ''")
-    lines = lines.select("conv_id", "turn", "level", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
-    wanted = lines.where("level > 0").select("conv_id", "h1", "h2").distinct()
-    rows = lines.groupBy("conv_id", "turn", "level", "h1", "h2").agg(F.count("*").alias("n")).join(wanted, ["conv_id", "h1", "h2"], "leftsemi")
-    rows = rows.withColumn("own", F.when(F.col("level") == 0, F.col("turn")))
-    found = _latest_before(rows, ["conv_id", "h1", "h2"]).where("level > 0 AND origin IS NOT NULL")
-    votes = found.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "n", "origin")).alias("b"))
+    found = units(messages).select("conv_id", "turn", "level", "kind", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"))
+    keys = ["conv_id", "kind", "h1", "h2"]
+    rows = found.groupBy(*keys, "turn", "level").agg(F.count("*").alias("n"))
+    wanted = found.where("level > 0").select(*keys).distinct()
+    rows = rows.join(wanted, keys, "leftsemi").withColumn("own", F.when(F.col("level") == 0, F.col("turn")))
+    found = _latest_before(rows, keys).where("level > 0 AND origin IS NOT NULL")
+    votes = found.groupBy("conv_id", "turn", "level", "kind", "origin").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "kind", "n", "origin")).alias("b"))
     return best.select("conv_id", "turn", F.col("b.origin").alias("parent_turn"))
 
 

@@ -3,20 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratavox.sources.shared import settle
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="stratavox-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["forget", "settle", "small_batches"]
 
 
 @contextlib.contextmanager
@@ -32,17 +25,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so that no later step recomputes it.
-
-    The files outlive any executor; a lost one costs a reread, never a rerun.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratavox/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(*tables: DataFrame) -> None:
     """Delete what :func:`settle` wrote for tables that no later step reads."""
     for df in tables:

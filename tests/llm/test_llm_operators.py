@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -518,3 +519,133 @@ def test_untrained_models_and_empty_tables(spark):
     none = secrets.train(spark.createDataFrame([], "value string, random boolean"))
     assert set(none.values) == {0.0}
     assert secrets.scan(table(spark, ["a"]).limit(0), none).count() == 0
+
+
+# Hostile inputs and clashing names
+
+
+def test_quotes_wrapped_anew_find_their_message(spark):
+    rows = [
+        (1, 0, "The quick brown fox jumps\nover the lazy dog. It ran away.\n\nSecond paragraph"),
+        (1, 1, "Something else entirely"),
+        (1, 2, "> The quick brown fox\n> jumps over the lazy dog. It ran\n> away.\n\nI agree"),
+        (1, 3, "> jumps over the\n> lazy dog. It\n> ran away.\nwhat?"),
+        (1, 4, "> > It ran away.\n> I agree\nno"),
+    ]
+    found = quotes.link(spark.createDataFrame(rows, "conv_id long, turn int, text string").withColumn("role", F.lit("u"))).collect()
+    assert {r.turn: r.parent_turn for r in found} == {0: None, 1: None, 2: 0, 3: 0, 4: 2}
+
+
+def test_very_many_marks_and_blanks(spark):
+    rows = [(1, 0, ">" * 100_000 + " x"), (1, 1, "a" + " " * 1_000_000 + "b" + " \n" * 100_000), (1, 2, "> " * 3_000 + "x\ny")]
+    found = {r.turn: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn int, text string").withColumn("role", F.lit("u"))).collect()}
+    assert (found[0].depth, found[0].content, found[2].depth, found[2].content) == (100_000, "", 3_000, "y")
+    assert found[1].content == "a" + " " * 1_000_000 + "b"
+
+
+def parent_by_hand(messages):
+    """The parents of one conversation's messages, by the definition."""
+    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip(" ")
+
+    def units(text):
+        out, run = [], []
+        for line in [*text.split("\n"), ""]:
+            mark = re.match(r"((?:[ \t]{0,3}>)+)[ \t]?", line)
+            level, body = (mark[1].count(">"), norm(line[mark.end() :])) if mark else (0, norm(line))
+            if run and (not body or level != run[0][0]):
+                whole = " ".join(b for _, b in run)
+                out += [(run[0][0], 2, whole), *((run[0][0], 1, x) for x in re.split(r"(?<=[.!?]) ", whole))]
+                run = []
+            if body:
+                out.append((level, 0, body))
+                run.append((level, body))
+        return out
+
+    told = [units(t) for t in messages]
+    parents = {}
+    for i, mine in enumerate(told):
+        votes = Counter()
+        for level, kind, unit in mine:
+            origin = max((j for j in range(i) if (0, kind, unit) in told[j]), default=None)
+            if level and origin is not None:
+                votes[(-level, kind, origin)] += 1
+        best = max(((level, kind, n, origin) for (level, kind, origin), n in votes.items()), default=None)
+        parents[i] = best and best[3]
+    return parents
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_threads_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    said = ["Ok.", "yes", "It is so. Or not?", "two words", "a longer line here", "Fine. Then go on."]
+    talks = []
+    for _ in range(12):
+        texts = []
+        for _ in range(8):
+            lines = [rnd.choice(said) for _ in range(rnd.randrange(1, 4))]
+            if texts and rnd.random() < 0.8:
+                words = " ".join(rnd.choice(texts).split("\n")) if rnd.random() < 0.4 else rnd.choice(texts)
+                lines = ["> " + x for x in words.split("\n")] + rnd.choice([[], [""]]) + lines
+            texts.append("\n".join(lines))
+        talks.append(texts)
+    rows = [(c, k, "u", t) for c, texts in enumerate(talks) for k, t in enumerate(texts)]
+    found = quotes.link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in found} == {(c, k): p for c, texts in enumerate(talks) for k, p in parent_by_hand(texts).items()}
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        ("<html><head><title>t</title><body><p>text</p>", "text"),
+        ("<script>if(a<!--b){}</script><article>It is here</article>", "It is here"),
+        ("<head><title>a</title></head><article><math>x = 1</math> and <svg>so</article>", "x = 1 and so"),
+        ("<article>one <!-- <script> --> two</article><script>three", "one two"),
+        ('<article class="a>b">kept</article>', "kept"),
+    ],
+)
+def test_hidden_elements(page, expected):
+    assert extract.main_text(page) == expected
+
+
+@pytest.mark.parametrize("page", ["<script " * 20_000, "<svg>" * 20_000, "<!--" * 20_000, "<head><p>x" * 20_000, '<a "' * 20_001, '<a "' * 20_001 + ">", "<object></svg>" * 10_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    extract.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_cascade_of_another_text_column(spark):
+    df = spark.createDataFrame([(1, "LOUD WORDS EVERYWHERE HERE " * 9, 1), (2, "a few ordinary words that follow one after the other and go on without end to fill all of this line", 2)], "doc_id long, body string, text int")
+    found = quality.cascade(df, {"shouting": quality.RULES["shouting"]}, text="body")
+    assert {r.doc_id: (r.rejected_by, r.text) for r in found.collect()} == {1: ("shouting", 1), 2: (None, 2)}
+
+
+def test_many_near_copies_below_the_coefficient(spark):
+    """A hot group whose members don't link: groups meet in blocks, and the result equals brute force."""
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(260):
+        text = list(base)
+        for k in rnd.sample(range(120), rnd.choice([1, 4, 5, 6])):
+            text[k] = f"x{rnd.randrange(5)}"
+        rows.append((i, " ".join(text)))
+    found = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == joined(rows, 3, 80)
+
+
+def test_sets_that_reach_the_coefficient_share_a_token():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for percent in (50, 80, 90):
+        for size in [1, 2, 3, 7, 8, 20, 63, 64, 200, 900]:
+            for _ in range(20):
+                a = np.unique(rnd.integers(0, 2**64, size, np.uint64))
+                most = (100 - percent) * 2 * len(a) // (100 + percent)
+                out = rnd.integers(0, most + 1)
+                b = np.unique(np.concatenate([np.delete(a, rnd.choice(len(a), min(out // 2, len(a) - 1), replace=False)), rnd.integers(0, 2**64, out - out // 2, np.uint64)]))
+                shared = len(np.intersect1d(a, b))
+                if 100 * shared >= percent * (len(a) + len(b) - shared) and not np.array_equal(a, b):
+                    seen = [(x >> np.uint64(60)).astype(np.uint32) for x in (a, b)]
+                    assert np.intersect1d(jaccard._tokens(a, seen[0], percent), jaccard._tokens(b, seen[1], percent)).size
