@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.llm.tables import set_aside
+
 from stratavox.llm.licence_texts import TEXTS
 
 #: The coefficient from which on a passage is a licence's.
@@ -290,5 +292,6 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] | N
             rows = [scan_text(x, shared.value, least, windows) for x in part]
             yield pd.DataFrame(rows, columns=["licence", "dice", "n_matches", "licences"])
 
-    found = df.drop("licence", "dice", "n_matches", "licences").withColumn("_scan", scanned(text))
-    return found.select("*", "_scan.*").drop("_scan")
+    df, back = set_aside(df.drop(*({"licence", "dice", "n_matches", "licences"} - {text})), "_scan")
+    found = df.withColumn("_scan", scanned({v: k for k, v in back.items()}.get(text, text))).drop("licence", "dice", "n_matches", "licences")
+    return found.select("*", "_scan.*").drop("_scan").withColumnsRenamed(back)

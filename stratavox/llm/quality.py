@@ -12,6 +12,8 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.llm.tables import set_aside
+
 #: Words of the windows whose repetition counts.
 REPEAT_WINDOW = 8
 
@@ -36,6 +38,9 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     in the text, the first included). A null or empty text has 0 of each.
     """
     n = REPEAT_WINDOW
+    helpers = ("_words", "_lines", "_hashes", "_windows", "_repeats")
+    df, back = set_aside(df, *helpers)
+    text = {v: k for k, v in back.items()}.get(text, text)
     body = F.coalesce(F.col(text), F.lit(""))
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
@@ -66,7 +71,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             (a, p) -> struct(greatest(a.reached, p + {n}) AS reached, a.n + p + {n} - greatest(a.reached, p) AS n),
             a -> a.n)"""
     df = df.withColumn("n_repeat_words", F.expr(f"CAST(CASE WHEN _repeats THEN {covered} ELSE 0 END AS BIGINT)"))
-    return df.drop("_words", "_lines", "_hashes", "_windows", "_repeats")
+    return df.drop(*helpers).withColumnsRenamed(back)
 
 
 def sample_of(df: DataFrame, rows: int = 1000, seed: int = 1) -> DataFrame:

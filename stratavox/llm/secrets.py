@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.llm.tables import set_aside
+
 # The patterns of the contract by kind, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)(?-i)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -100,7 +102,9 @@ def scan(df: DataFrame, ratios: Ratios, text: str = "text") -> DataFrame:
     ``LEAST_RATIO`` and that hold a letter and a digit are spans of kind markov.
     A null or empty text has none.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    helpers = ("_assign", "_access", "_hex", "_runs", "_base", "_more")
+    df, back = set_aside(df, *helpers)
+    body = F.coalesce(F.col({v: k for k, v in back.items()}.get(text, text)), F.lit(""))
     low = F.lower(body)
     none = F.expr(f"CAST(array() AS {_SPANS})")
     hint = F.lit(False)
@@ -122,7 +126,7 @@ def scan(df: DataFrame, ratios: Ratios, text: str = "text") -> DataFrame:
 
     df = df.withColumn("_more", F.filter("_runs", judged))
     df = df.withColumn("spans", F.array_sort(F.concat("_base", "_more")))
-    return df.drop("_assign", "_access", "_hex", "_runs", "_base", "_more")
+    return df.drop(*helpers).withColumnsRenamed(back)
 
 
 def written(spans: Column) -> Column:

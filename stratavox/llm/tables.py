@@ -9,7 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratavox.sources.shared import settle
 
-__all__ = ["forget", "settle", "small_batches"]
+__all__ = ["forget", "set_aside", "settle", "small_batches"]
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names under others, so that helper columns may take the names; and how to name them back."""
+    taken, back = set(df.columns), {}
+    for name in names:
+        if name in taken:
+            other = name
+            while other in taken:
+                other += "_"
+            taken.add(other)
+            back[other] = name
+    return df.withColumnsRenamed({v: k for k, v in back.items()}), back
 
 
 @contextlib.contextmanager

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.llm.tables import set_aside
+
 _SLASH = ord("/")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -113,21 +115,29 @@ def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | N
         raise ValueError("hosts and paths of rules hold no wildcards")
     automaton = compile_globs([escaped[i] for i in order] + block)
 
+    ruled_by = np.array([*(names[i] for i in order), None], object)
+    kinds = np.array([*(rules[i][0] for i in order), "allow"], object)
+    globs = np.array([*block, None], object)
+
+    def first(fits: np.ndarray, none: int) -> np.ndarray:
+        return np.where(fits.any(axis=1), fits.argmax(axis=1), none) if none else np.zeros(len(fits), np.int64)
+
     @F.pandas_udf("rule string, verdict string, glob string")
     def verdicts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for host, path in parts:
-            made: list[tuple[str | None, str, str | None]] = []
+            made = []
             for at in range(0, len(host), 2048):
                 urls = [f".{h}{p}".encode() for h, p in zip(host[at : at + 2048], path[at : at + 2048], strict=True)]
                 fits = simulate(automaton, urls)
                 ruled, globbed = fits[:, : len(rules)], fits[:, len(rules) :]
-                for row in range(len(urls)):
-                    rule = int(ruled[row].argmax()) if ruled[row].any() else None
-                    glob = block[int(globbed[row].argmax())] if globbed[row].any() else None
-                    verdict = rules[order[rule]][0] if rule is not None else "block" if glob else "allow"
-                    made.append((names[order[rule]] if rule is not None else None, verdict, glob))
-            yield pd.DataFrame(made, columns=["rule", "verdict", "glob"])
-
+                rule = first(ruled, len(rules))
+                glob = np.where(rule < len(rules), len(block), first(globbed, len(block)))
+                judged = np.where(rule < len(rules), kinds[rule], np.where(glob < len(block), "block", "allow"))
+                made.append(pd.DataFrame({"rule": ruled_by[rule], "verdict": judged, "glob": globs[glob]}))
+            yield pd.concat(made) if made else pd.DataFrame({"rule": [], "verdict": [], "glob": []}, dtype=object)
+
+    df, back = set_aside(df, "_judged")
+    url = {v: k for k, v in back.items()}.get(url, url)
     found = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     found = found.drop("rule", "verdict", "glob").withColumn("_judged", verdicts("host", "path"))
-    return found.select("*", "_judged.rule", "_judged.verdict", "_judged.glob").drop("_judged")
+    return found.select("*", "_judged.rule", "_judged.verdict", "_judged.glob").drop("_judged").withColumnsRenamed(back)

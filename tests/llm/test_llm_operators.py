@@ -649,3 +649,21 @@ def test_sets_that_reach_the_coefficient_share_a_token():
                 if 100 * shared >= percent * (len(a) + len(b) - shared) and not np.array_equal(a, b):
                     seen = [(x >> np.uint64(60)).astype(np.uint32) for x in (a, b)]
                     assert np.intersect1d(jaccard._tokens(a, seen[0], percent), jaccard._tokens(b, seen[1], percent)).size
+
+
+def test_columns_with_names_of_helpers_stay(spark):
+    names = ["_words", "_lines", "_hashes", "_windows", "_repeats", "_assign", "_access", "_hex", "_runs", "_base", "_more", "_scan", "_judged", "_words_"]
+    df = spark.createDataFrame([(1, "password = abcdef12 and some words", "http://a.example.org/es/")], "doc_id long, text string, url string")
+    df = df.withColumns({n: F.lit(n) for n in names})
+    for found in (quality.measures(df), secrets.scan(df, secrets.train(secrets.training_sample(df, strings=9))), licences.scan(df), urls.judge(df)):
+        row = found.first()
+        assert all(row[n] == n for n in names)
+    assert quality.measures(df, "_words").first().n_words == 1
+    assert urls.judge(df).first().verdict == "block"
+
+
+def test_url_verdicts_by_row(spark):
+    rows = ["http://x.org/a", "http://example.org/es/x", "https://my-casino.net/", "http://plain.net/", None, "no scheme"]
+    found = urls.judge(spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "page_id long, url string")).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict, r.glob is not None) for r in found] == [("org/", "allow", False), ("example.org/es/", "block", False), (None, "block", True), (None, "allow", False), (None, "allow", False), (None, "allow", False)]
+    assert urls.judge(spark.createDataFrame([("http://x.org/a",)], "url string"), rules=[], block=[]).first().verdict == "allow"
