@@ -165,3 +165,18 @@ def so3_exp(x: Column, y: Column, z: Column) -> list[list[Column]]:
         [c * x * y + s * z, 1 - c * (x * x + z * z), c * y * z - s * x],
         [c * x * z - s * y, c * y * z + s * x, 1 - c * (x * x + y * y)],
     ]
+
+
+def siren_terms(sdf: Column, gradient: Vec, normal: Vec) -> dict[str, Column]:
+    """Each row's four loss terms: zero on the surface, far from zero off it, gradient along the normal, gradient of length 1.
+
+    A row is on the surface if it has a normal. A product of lengths below 1e-8 counts as 1e-8.
+    """
+    on = sum((F.abs(x) for x in normal), F.lit(0.0)) > 1e-6
+    along = dot(gradient, normal) / F.greatest(length(gradient) * length(normal), F.lit(1e-8))
+    return {
+        "sdf_in": F.when(on, F.abs(sdf)).otherwise(0.0),
+        "sdf_out": F.when(on, 0.0).otherwise(F.exp(-100.0 * F.abs(sdf))),
+        "normal": F.when(on, 1 - along).otherwise(0.0),
+        "eikonal": F.abs(length(gradient) - 1),
+    }

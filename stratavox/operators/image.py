@@ -63,18 +63,29 @@ def _points(pixels: DataFrame, intrinsics: tuple[float, float, float, float]) ->
     return pixels.select("frame_id", "v", "u", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
+def sensor_weight(z: Column, nz: Column) -> Column:
+    """How far a depth is to be trusted: one over the sensor's deviation at that depth and tilt."""
+    theta = F.acos(F.least(F.greatest(nz, F.lit(-1.0)), F.lit(1.0)))
+    tilt = theta / (0.5 * 3.14159 - theta)  # fixed value: pi as the sensor model has it
+    return 1 / (0.0012 + 0.0019 * (z - 0.4) * (z - 0.4) + 0.0001 / F.sqrt(z) * tilt * tilt)
+
+
 def cross_normals(pixels: DataFrame, intrinsics: tuple[float, float, float, float]) -> DataFrame:
-    """(frame_id, v, u, nx, ny, nz) from the four neighbours' differences, turned to the camera; NaN without all four."""
+    """(frame_id, v, u, nx, ny, nz, weight) from the four neighbours' differences; NaN and weight -1 without a depth at all five, or without a direction."""
     rows = stencil(_points(pixels, intrinsics), 1, ["x", "y", "z"])
     at = lambda dv, du, c: F.max(F.when((F.col("dv") == dv) & (F.col("du") == du), F.col(c)))
     names = {(0, 1): "r", (0, -1): "l", (1, 0): "d", (-1, 0): "t", (0, 0): "c"}
     m = rows.groupBy("frame_id", "v", "u").agg(*[at(*k, c).alias(n + c) for k, n in names.items() for c in "xyz"])
     p = {n: tuple(F.col(n + c) for c in "xyz") for n in names.values()}
-    m = m.withColumns({f"e{c}": x for x, c in zip(cross(sub(p["r"], p["l"]), sub(p["d"], p["t"])), "xyz", strict=True)})  # type: ignore[arg-type]
-    n = normalised(vec("ex", "ey", "ez"))
-    flip = F.when(dot(n, p["c"]) > 0, -1.0).otherwise(1.0)  # type: ignore[arg-type]
-    made = [F.coalesce(flip * x, F.lit(NAN)).alias(f"n{c}") for x, c in zip(n, "xyz", strict=True)]
-    return m.where("cx IS NOT NULL").select("frame_id", "v", "u", *made)
+    m = m.withColumns({f"e{c}": x for x, c in zip(cross(sub(p["d"], p["t"]), sub(p["r"], p["l"])), "xyz", strict=True)})  # type: ignore[arg-type]
+    e = vec("ex", "ey", "ez")
+    known = F.lit(True)
+    for n in names.values():
+        known = known & F.coalesce(~F.isnan(f"{n}z") & (F.col(f"{n}z") > 1e-6), F.lit(False))
+    known = known & F.coalesce(dot(e, e) >= 1e-12, F.lit(False))
+    made = [F.when(known, x).otherwise(NAN) for x in normalised(e)]
+    m = m.where("cx IS NOT NULL").select("frame_id", "v", "u", "cz", *[x.alias(f"n{c}") for x, c in zip(made, "xyz", strict=True)], known.alias("_known"))
+    return m.select("frame_id", "v", "u", "nx", "ny", "nz", F.when(F.col("_known"), sensor_weight(F.col("cz"), F.col("nz"))).otherwise(-1.0).alias("weight"))
 
 
 def pca_normals(pixels: DataFrame, intrinsics: tuple[float, float, float, float], near2: float = 0.01, least: int = 9) -> DataFrame:

@@ -71,3 +71,32 @@ def training_voxels(samples: DataFrame, surface: DataFrame, grid: Grid, reach: f
     on = near_pairs(centre, surface, grid.size * reach / 2, chebyshev=True).groupBy("qid").agg(F.count("*").alias("n_surface"))
     kept = by_samples.join(on, "qid").where((F.col("n_local") >= least) & (F.col("n_surface") >= least) & F.col("positive").between(low, high))
     return kept.withColumnRenamed("qid", "lin_id")
+
+
+def training_records(voxels: DataFrame, samples: DataFrame, grid: Grid, reach: float, scale: float = 1.0) -> DataFrame:
+    """Samples (sid, x, y, z, sdf) of each voxel (lin_id) within a box of ``reach`` cells: (lin_id, sid, x, y, z, sdf), relative to its centre, in cells.
+
+    ``scale`` multiplies places and distances first, as for shapes that were sampled at another size.
+    """
+    scaled = samples.select(F.col("sid").alias("pid"), *[(F.col(c) * scale).alias(c) for c in ("x", "y", "z", "sdf")])
+    g = grid.axes(F.col("lin_id"))
+    centre = voxels.select(F.col("lin_id").alias("qid"), *[((a + 0.5) * grid.size + lo).alias(c) for a, lo, c in zip(g, grid.low, "xyz", strict=True)])
+    near = near_pairs(centre, scaled, grid.size * reach / 2, chebyshev=True)
+    places = [((F.col(c) - F.col(f"q{c}")) / grid.size).alias(c) for c in "xyz"]
+    return near.select(F.col("qid").alias("lin_id"), F.col("pid").alias("sid"), *places, (F.col("sdf") / grid.size).alias("sdf"))
+
+
+def batches(df: DataFrame, key: str, size: int, digits: int = 3) -> DataFrame:
+    """Rows in the order of their key's md5, ``size`` to a ``batch`` (0, 1, ...); the last, partial batch is dropped.
+
+    Places go in two steps: 16^``digits`` ranges of the digest are counted, and
+    rows numbered within each, so no task holds the whole order.
+    """
+    rows = df.withColumn("_md5", F.md5(F.col(key).cast("string").cast("binary")))
+    rows = rows.withColumn("_range", F.conv(F.substring("_md5", 1, digits), 16, 10).cast("int"))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(F.lit(1)).orderBy("_range")
+    ends = counts.select("_range", (F.sum("_n").over(whole) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy("_md5", key)) - 1
+    placed = rows.join(F.broadcast(ends), "_range").withColumn("batch", F.floor(place / size))  # at most 16^digits rows
+    return placed.where(F.col("batch") < F.floor(F.col("_total") / size)).drop("_md5", "_range", "_start", "_total")

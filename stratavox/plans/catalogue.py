@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.functions import geometry as geo
 from stratavox.functions import mlp
 from stratavox.functions.pose import inverse, se3_exp, se3_log
 from stratavox.operators import grid, image, mesh, reduce, sample, scan, spatial, track
-from stratavox.plans import views
-from stratavox.plans.views import with_views
+from stratavox.plans import mapping, views  # noqa: F401 (registers its queries)
+from stratavox.plans.registered import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 from stratavox.sources import rgbd, sinks
 from stratavox.sources.tables import read_table, workers_find_package
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 PTS = grid.Grid((0.0, 0.0, 0.0), 0.5, (10, 10, 10))
 EPTS = grid.Grid((-1.0, -1.0, -1.0), 0.25, (8, 8, 8))
 K = (20.0, 20.0, 7.5, 7.5)
@@ -28,22 +24,6 @@ TURN = [[0.36, 0.48, -0.8], [-0.8, 0.6, 0.0], [0.48, 0.64, 0.6]]
 MOVE = [0.1, -0.2, 0.3]
 
 
-def query(sql: str | None = None, *names: str):
-    """Register a query, and its DuckDB text behind the views that it names."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = with_views(sql, *names) if names else sql
-        return f
-
-    return add
-
-
-def r6(name: str, column=None):
-    return F.round(F.col(name) if column is None else column, 6).alias(name)
-
-
 _CELL = "CAST(ceil(z/5e-1)-1 AS BIGINT) + 10*CAST(ceil(y/5e-1)-1 AS BIGINT) + 100*CAST(ceil(x/5e-1)-1 AS BIGINT)"
 _IN = "x>0e0 AND x<=5e0 AND y>0e0 AND y<=5e0 AND z>0e0 AND z<=5e0"
 _G = f"g AS (SELECT *, {_CELL} AS lin_id FROM pts WHERE {_IN})"
@@ -249,13 +229,6 @@ def chebyshev_range_join(spark, sf_dir):
     return spatial.near_pairs(centres, points, 0.25, chebyshev=True).groupBy("qid").agg(F.count("*").alias("n"), F.count_if(F.col("nx") > 0).alias("positive"))
 
 
-@query()
-def training_voxels(spark, sf_dir):
-    points = views.epts(spark, sf_dir)
-    samples = points.select(F.col("vec_id").alias("sid"), "x", "y", "z", F.col("nx").alias("sdf"))
-    return sample.training_voxels(samples, points.select(F.col("vec_id").alias("pid"), "x", "y", "z"), EPTS, 2.0, 2, 0.1, 0.9)
-
-
 @query("SELECT frame_id, v, u, round((u-75e-1)/20e0*depth,8)+0e0 AS x, round((v-75e-1)/20e0*depth,8)+0e0 AS y, round(depth,6) AS z FROM px WHERE depth >= 24e-1 AND depth <= 27e-1", "px")
 def unproject_depth(spark, sf_dir):
     pixels = views.px(spark, sf_dir).withColumn("depth", geo.depth_in_range(F.col("depth"), 2.4, 2.7)).where(~F.isnan("depth"))
@@ -292,9 +265,20 @@ def bilateral_depth(spark, sf_dir):
     return image.bilateral(views.px(spark, sf_dir), 16, 16).select("frame_id", "v", "u", r6("depth"))
 
 
-@query()
+@query(
+    """, p AS (SELECT frame_id, v, u, (u-75e-1)/20e0*depth AS x, (v-75e-1)/20e0*depth AS y, depth AS z FROM px),
+d AS (SELECT c.*, r.x-l.x AS ax, r.y-l.y AS ay, r.z-l.z AS az, b.x-t.x AS bx, b.y-t.y AS by_, b.z-t.z AS bz FROM p c
+ LEFT JOIN p r ON r.frame_id=c.frame_id AND r.v=c.v AND r.u=c.u+1 LEFT JOIN p l ON l.frame_id=c.frame_id AND l.v=c.v AND l.u=c.u-1
+ LEFT JOIN p b ON b.frame_id=c.frame_id AND b.v=c.v+1 AND b.u=c.u LEFT JOIN p t ON t.frame_id=c.frame_id AND t.v=c.v-1 AND t.u=c.u),
+n AS (SELECT *, by_*az-bz*ay AS ex, bz*ax-bx*az AS ey, bx*ay-by_*ax AS ez FROM d), m AS (SELECT *, sqrt(ex*ex+ey*ey+ez*ez) AS len FROM n),
+w AS (SELECT *, acos(ez/len)/(5e-1*314159e-5-acos(ez/len)) AS tilt FROM m)
+SELECT frame_id, v, u, round(ex/len,6)+0e0 AS nx, round(ey/len,6)+0e0 AS ny, round(ez/len,6)+0e0 AS nz,
+ round(coalesce(1e0/(12e-4+19e-4*(z-4e-1)*(z-4e-1)+1e-4/sqrt(z)*tilt*tilt),-1e0),5) AS weight FROM w""",
+    "px",
+)
 def normal_map(spark, sf_dir):
-    return image.cross_normals(views.px(spark, sf_dir), K)
+    found = image.cross_normals(views.px(spark, sf_dir), K)
+    return found.select("frame_id", "v", "u", *[F.when(~F.isnan(c), F.round(c, 6) + 0.0).alias(c) for c in ("nx", "ny", "nz")], F.round("weight", 5).alias("weight"))
 
 
 @query()
@@ -597,7 +581,11 @@ def march_cubes(spark, sf_dir):
     return mesh.march(field, 2 / 23, (-1.0, -1.0, -1.0))
 
 
-@query()
+@query(
+    f""", {_G}, c AS (SELECT lin_id, count(*)/1e2 AS std, avg(x)-avg(y) AS sdf FROM g GROUP BY 1)
+SELECT lin_id//100+a AS i, lin_id//10%10+b AS j, lin_id%10+c AS k, round(sum(std*sdf)/sum(std),6)+0e0 AS sdf, round(avg(std),6) AS std FROM c, range(2) p(a), range(2) q(b), range(2) r(c) GROUP BY 1,2,3""",
+    "pts",
+)
 def overlap_blend(spark, sf_dir):
     """Corners of the voxel lattice, blended from the eight cells around each with their trilinear weights."""
     cells = grid.occupancy(views.pts(spark, sf_dir), PTS).select("lin_id", (F.col("n") / 100).alias("std"), (F.col("cx") - F.col("cy")).alias("sdf"))
@@ -605,7 +593,7 @@ def overlap_blend(spark, sf_dir):
     corner = F.explode(F.array(*[F.struct(*[F.lit(o).alias(n) for o, n in zip(c, "abc", strict=True)]) for c in mesh.CORNERS]))
     rows = cells.select(gx.alias("gx"), gy.alias("gy"), gz.alias("gz"), "sdf", "std", corner.alias("o"))
     rows = rows.select(*[(F.col(f"g{c}") + F.col(f"o.{o}")).alias(n) for c, o, n in zip("xyz", "abc", "ijk", strict=True)], F.lit(0.125).alias("w"), "sdf", "std", F.lit(True).alias("home"))
-    return mesh.blend(rows)
+    return mesh.blend(rows).select("i", "j", "k", (F.round("sdf", 6) + 0.0).alias("sdf"), r6("std"))
 
 
 @query()
@@ -638,7 +626,7 @@ def rotation_augment(spark, sf_dir):
     return views.epts(spark, sf_dir).select("vec_id", x.alias("x"), "y", z.alias("z"))
 
 
-@query()
+@query("SELECT " + _EG + " AS lin_id, round(avg(x),6)+0e0 AS cx, round(avg(y),6)+0e0 AS cy, round(avg(z),6)+0e0 AS cz, count(*)*1e0 AS obs_count FROM epts GROUP BY 1", "epts")
 def stream_voxel_state(spark, sf_dir):
     """The points as a stream of four files into the voxel state: the map after the last batch."""
     from stratavox.sources.shared import fresh_path
@@ -647,4 +635,5 @@ def stream_voxel_state(spark, sf_dir):
     work = fresh_path(spark, "stream")
     points = views.epts(spark, sf_dir).select("x", "y", "z")
     points.repartition(4).write.parquet(f"{work}/source")
-    return run_to_end(spark, f"{work}/source", "x double, y double, z double", EPTS, work)
+    found = run_to_end(spark, f"{work}/source", "x double, y double, z double", EPTS, work)
+    return found.select("lin_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("cx", "cy", "cz")], "obs_count")
