@@ -74,6 +74,27 @@ def test_rules_that_reject_more_per_cost_come_first(spark):
     assert order.index("fast") < order.index("never") and order.index("a_slow") < order.index("never")
 
 
+def test_rules_from_text_equal_rules_over_measures(spark):
+    rnd = random.Random(2)
+    texts = TRICKY + ["\n".join(" ".join(rnd.choice(["a", "b", "C", "#", "word", "LOUD"]) for _ in range(rnd.randrange(14))) for _ in range(6)) for _ in range(60)]
+    df = table(spark, [*texts, None])
+    columns = quality.measures(df).select("doc_id", "text", *quality.FROM_TEXT).collect()
+    lazy = by_id(df.select("doc_id", *[F.expr(quality.from_text(n)).alias(n) for n in quality.FROM_TEXT]))
+    assert all(lazy[r.doc_id][n] == r[n] for r in columns for n in quality.FROM_TEXT)
+    one, other = by_id(quality.cascade(df)), by_id(quality.cascade(df, measured=False))
+    assert {k: r.kept for k, r in one.items()} == {k: r.kept for k, r in other.items()}
+    assert set(other[0].asDict()) == {"doc_id", "text", "rejected_by", "kept"}
+
+
+def test_later_rules_are_not_evaluated_on_rejected_rows(spark):
+    df = table(spark, ["a b", "word " * 30, None])
+    rules = {"short": quality.from_text("n_words < 20"), "strict": quality.from_text("CASE WHEN n_words < 20 THEN raise_error('evaluated') ELSE n_words > 1000 END")}
+    found = by_id(df.withColumn("by", quality.first_rejection(rules, ["short", "strict"])))
+    assert [found[k].by for k in range(3)] == ["short", None, "short"]
+    with pytest.raises(Exception, match="evaluated"):
+        df.withColumn("by", quality.first_rejection(rules, ["strict", "short"])).collect()
+
+
 # 2: quotation linking
 
 
