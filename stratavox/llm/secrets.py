@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.llm.tables import set_aside
+from stratavox.llm.tables import set_aside, settle
 
 # The patterns of the contract by kind, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -146,23 +146,33 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
     return df.withColumn(text, F.expr(f"CASE WHEN size(spans) > 0 THEN {whole} ELSE {body} END")).drop("spans")
 
 
-def training_sample(docs: DataFrame, text: str = "text", rows: int = 2000, strings: int = 3000) -> DataFrame:
-    """Labelled samples: (``value``, ``random``), from at most about ``rows`` documents and ``strings`` of each random form.
+def training_sample(docs: DataFrame, text: str = "text", rows: int = 2000, strings: int = 3000, most_pairs: int = 20_000) -> DataFrame:
+    """Labelled samples: (``value``, ``random``), from at most about ``rows`` texts, ``most_pairs`` word pairs and ``strings`` of each random form.
 
     Random are digests as hexadecimal digits, Base64 and capitals with digits.
     Ordinary are the documents' words and identifiers put together from pairs of
-    neighbouring words, with capitals, underscores, hyphens and numbers.
+    neighbouring words, with capitals, underscores, hyphens and numbers. Texts and
+    pairs are picked by their hashes, each once however often it is repeated, so
+    the samples don't depend on how the rows are partitioned.
     """
     spark = docs.sparkSession
     ids = spark.range(strings).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("d"))
     forms = [F.col("d"), F.base64(F.unhex("d")), F.translate(F.upper(F.base64(F.unhex("d"))), "+/=", "7Q2"), F.translate(F.base64(F.unhex("d")), "+/=", "-_")]
     random = ids.select(F.explode(F.array(*forms)).alias("value"), F.lit(True).alias("random"))
-    total = docs.count()
-    few = docs if total <= rows else docs.sample(rows / total, 1)
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Za-z]{2,24}(?![A-Za-z])"), F.lit(0))
-    few = few.select(words.alias("w"))
-    pairs = few.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.coalesce(F.get("w", i + 1), x).alias("b"), i.alias("i")))).alias("p")).select("p.*").distinct()
-    a, b = F.lower("a"), F.lower("b")
-    joined = [a, F.concat(a, F.lit("_"), b), F.concat(a, F.initcap(b)), F.concat(F.initcap(a), F.initcap(b)), F.concat(a, F.lit("-"), b), F.concat(F.upper(a), F.lit("_"), F.upper(b)), F.concat(a, F.lit("_"), F.col("i").cast("string")), F.concat(a, F.lit("/"), b, F.lit("/"))]
+    few = _share(docs.select(F.col(text).alias("t")), docs.count(), rows).distinct()
+    words = F.regexp_extract_all(F.coalesce(F.col("t"), F.lit("")), F.lit(r"[A-Za-z]{2,24}(?![A-Za-z])"), F.lit(0))
+    met = F.transform("w", lambda x, i: F.struct(F.lower(x).alias("a"), F.lower(F.coalesce(F.get("w", i + 1), x)).alias("b")))
+    pairs = settle(few.select(words.alias("w")).select(F.explode(F.array_distinct(met)).alias("p")).select("p.*").distinct(), "pairs")
+    pairs = _share(pairs, pairs.count(), most_pairs)
+    a, b = F.col("a"), F.col("b")
+    number = F.pmod(F.xxhash64("a", "b"), F.lit(1000)).cast("string")
+    joined = [a, F.concat(a, F.lit("_"), b), F.concat(a, F.initcap(b)), F.concat(F.initcap(a), F.initcap(b)), F.concat(a, F.lit("-"), b), F.concat(F.upper(a), F.lit("_"), F.upper(b)), F.concat(a, F.lit("_"), number), F.concat(a, F.lit("/"), b, F.lit("/"))]
     ordinary = pairs.select(F.explode(F.array(*joined)).alias("value"), F.lit(False).alias("random"))
     return random.unionByName(ordinary)
+
+
+def _share(df: DataFrame, total: int, most: int) -> DataFrame:
+    """The rows whose hash falls into the share that leaves about ``most`` of ``total``; all if there are no more."""
+    if total <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)) < (1 << 40) * most // total)
