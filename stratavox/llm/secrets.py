@@ -162,7 +162,7 @@ def training_sample(docs: DataFrame, text: str = "text", rows: int = 2000, strin
     few = _share(docs.select(F.col(text).alias("t")), docs.count(), rows).distinct()
     words = F.regexp_extract_all(F.coalesce(F.col("t"), F.lit("")), F.lit(r"[A-Za-z]{2,24}(?![A-Za-z])"), F.lit(0))
     met = F.transform("w", lambda x, i: F.struct(F.lower(x).alias("a"), F.lower(F.coalesce(F.get("w", i + 1), x)).alias("b")))
-    pairs = settle(few.select(words.alias("w")).select(F.explode(F.array_distinct(met)).alias("p")).select("p.*").distinct(), "pairs")
+    pairs = settle(few.select(words.alias("w")).select(F.explode(met).alias("p")).select("p.*").distinct(), "pairs")
     pairs = _share(pairs, pairs.count(), most_pairs)
     a, b = F.col("a"), F.col("b")
     number = F.pmod(F.xxhash64("a", "b"), F.lit(1000)).cast("string")
