@@ -105,3 +105,22 @@ def look_at(source: np.ndarray, target: np.ndarray, up: np.ndarray) -> np.ndarra
     out[:3, :3] = np.stack([x, np.cross(z, x), z], axis=1)
     out[:3, 3] = source
     return out
+
+
+def curly_wedge(xi: np.ndarray) -> np.ndarray:
+    """The 6 x 6 matrix by which one twist acts on another."""
+    turn = wedge(xi[3:])
+    return np.block([[turn, wedge(xi[:3])], [np.zeros((3, 3)), turn]])
+
+
+def se3_left_jacobian(xi: np.ndarray, terms: int = 40) -> np.ndarray:
+    """The Jacobian J with exp(xi + d) = exp(J d) exp(xi) to first order, by its power series (``terms`` are enough for turns up to some full ones)."""
+    act, term, total = curly_wedge(xi), np.eye(6), np.eye(6)
+    for n in range(1, terms):
+        term = term @ act / (n + 1)
+        total = total + term
+    return total
+
+
+def se3_inverse_left_jacobian(xi: np.ndarray) -> np.ndarray:
+    return np.linalg.inv(se3_left_jacobian(xi))

@@ -118,3 +118,11 @@ def march(field: DataFrame, size: float, low: tuple[float, float, float] = (0.0,
     points = F.array(*[vertex(a, b) for a, b in EDGES])
     made = met.withColumn("p", points).select("i", "j", "k", "tri_no", F.expr("transform(edges, e -> p[e])").alias("v"))
     return made if most_std is None else made.where(F.array_max(F.transform("v", lambda x: x["std"])) <= most_std)
+
+
+def bounding_box(vertices: DataFrame, faces: DataFrame, vid: str = "vid", buffer: float = 0.0) -> DataFrame:
+    """One row (min_x, max_x, ..): the box of the vertices that a face (rows of ``vid``) uses, wider by ``buffer`` along each axis about its centre."""
+    ends = vertices.join(faces.select(vid), vid, "left_semi").agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    centre = {c: (F.col(f"lo{c}") + F.col(f"hi{c}")) / 2 for c in "xyz"}
+    half = {c: (F.col(f"hi{c}") - F.col(f"lo{c}") + buffer) / 2 for c in "xyz"}
+    return ends.select(*[x.alias(f"{n}_{c}") for c in "xyz" for n, x in (("min", centre[c] - half[c]), ("max", centre[c] + half[c]))])

@@ -76,3 +76,62 @@ def levenberg_marquardt(residuals: Residuals, start: np.ndarray, steps: int, dam
             if damping >= 1e7:
                 break
     return Result(pose, energies, True)
+
+
+@dataclass
+class Term:
+    """A term of the energy: its residuals at a pose, and the weight of all its sums."""
+
+    residuals: Residuals
+    weight: float = 1.0
+
+
+@dataclass
+class Stability:
+    """Counts frames whose last group stopped late; from ``most`` on the weight of ``term`` is raised to ``weight`` at least."""
+
+    term: str
+    late: int = 10
+    most: int = 3
+    weight: float = 500.0
+    events: int = 0
+
+    def note(self, stopped_at: int, terms: dict[str, Term]) -> None:
+        if stopped_at >= self.late:
+            self.events += 1
+            if self.events >= self.most:
+                terms[self.term].weight = max(terms[self.term].weight, self.weight)
+
+
+def scheduled(groups: list[tuple[int, list[str]]], terms: dict[str, Term], start: np.ndarray, stability: Stability | None = None) -> Result:
+    """Gauss-Newton steps in groups of (number of steps, names of the terms that are summed), the pose handed on from group to group.
+
+    Each group ends with a step that only checks; a step that raised the group's
+    energy is taken back and ends the group. Every term is one Spark aggregate a
+    step. The step at which the last group stopped early is noted in
+    ``stability``. A group without residual rows, or a singular system, ends the
+    whole schedule, not tracked.
+    """
+    pose, energies = start, []
+    stopped_at = -1
+    for steps, names in groups:
+        before, last, stopped_at = pose, np.inf, -1
+        for step in range(steps + 1):
+            parts = [(terms[n].weight, *solve(terms[n].residuals(pose))) for n in names]
+            if not sum(m for *_, m in parts):
+                return Result(pose, energies, False)
+            energy = sum(w * e for w, _, _, e, _ in parts)
+            if energy > last:
+                pose, stopped_at = before, step if step < steps else -1
+                break
+            before, last = pose, energy
+            energies.append(energy)
+            if step < steps:
+                try:
+                    xi = np.linalg.solve(sum(w * h for w, h, *_ in parts), -sum(w * g for w, _, g, *_ in parts))
+                except np.linalg.LinAlgError:
+                    return Result(pose, energies, False)
+                pose = se3_exp(xi) @ pose
+    if stability is not None:
+        stability.note(stopped_at, terms)
+    return Result(pose, energies, True)

@@ -210,3 +210,21 @@ def siren_loss(spark, sf_dir):
     terms = geo.siren_terms(F.col("x"), geo.vec("y", "z", "x"), normal)
     weights = {"sdf_in": 2.0, "sdf_out": 3.0, "normal": 4.0, "eikonal": 5.0}
     return points.agg(*[F.round(F.avg(terms[n]) * w, 6).alias(n) for n, w in weights.items()])
+
+
+_WIDE = ", ".join(f"round((min({c})+max({c}))/2-(max({c})-min({c})+1e-1)/2,6)+0e0 AS min_{c}, round((min({c})+max({c}))/2+(max({c})-min({c})+1e-1)/2,6)+0e0 AS max_{c}" for c in "xyz")
+
+
+@query(f"SELECT {_WIDE} FROM epts WHERE vec_id < (SELECT count(*)//3*3 FROM epts) AND vec_id//3%2=0", "epts")
+def bbox_expanded(spark, sf_dir):
+    """The widened box of the vertices that every other triangle uses."""
+    faces = views.tri(spark, sf_dir).where("tri_id % 2 = 0").select(F.explode(F.array(*[F.col("tri_id") * 3 + k for k in range(3)])).alias("vec_id"))
+    found = mesh.bounding_box(views.epts(spark, sf_dir), faces, "vec_id", 0.1)
+    return found.select(*[(F.round(c, 6) + 0.0).alias(c) for c in found.columns])
+
+
+@query("SELECT count(*) AS names, round(avg(m),6) AS mean_of_means, round(sum(m),6) AS sum_of_means FROM (SELECT avg(value) AS m FROM frames WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type)", "frames")
+def meter_overall(spark, sf_dir):
+    rows = views.frames(spark, sf_dir).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    means = rows.groupBy("event_type").agg(F.avg("value").alias("m"))
+    return means.agg(F.count("*").alias("names"), F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.sum("m"), 6).alias("sum_of_means"))
