@@ -124,3 +124,54 @@ def se3_left_jacobian(xi: np.ndarray, terms: int = 40) -> np.ndarray:
 
 def se3_inverse_left_jacobian(xi: np.ndarray) -> np.ndarray:
     return np.linalg.inv(se3_left_jacobian(xi))
+
+
+def continuous(pose: np.ndarray) -> np.ndarray:
+    """Nine numbers: the rotation's first two columns and the translation."""
+    return np.concatenate([pose[:3, 0], pose[:3, 1], pose[:3, 3]])
+
+
+def from_continuous(numbers: np.ndarray, orthonormal: bool = True) -> np.ndarray:
+    """The pose of nine numbers; the columns are made orthonormal unless they are known to be, and the third is their cross product."""
+    a, b, t = np.asarray(numbers, float).reshape(3, 3)
+    if orthonormal:
+        a = a / np.linalg.norm(a)
+        b = b - (a @ b) * a
+        b = b / np.linalg.norm(b)
+    out = np.eye(4)
+    out[:3] = np.stack([a, b, np.cross(a, b), t], axis=1)
+    return out
+
+
+def full(pose: np.ndarray) -> np.ndarray:
+    """Twelve numbers: the rotation's columns and the translation."""
+    return pose[:3].T.ravel()
+
+
+def from_full(numbers: np.ndarray, orthonormal: bool = False) -> np.ndarray:
+    """The pose of twelve numbers, with the nearest rotation if asked for."""
+    out = np.eye(4)
+    out[:3] = np.asarray(numbers, float).reshape(4, 3).T
+    if orthonormal:
+        out[:3, :3] = nearest_rotation(out[:3, :3])
+    return out
+
+
+def random_pose(seed: int, spread: float = 1.0) -> np.ndarray:
+    """A pose with an evenly distributed rotation and a normal translation, the same for one seed."""
+    made = np.random.default_rng(seed)
+    return from_quaternion(*made.normal(size=4), made.normal(scale=spread, size=3))
+
+
+def to_gl_camera(pose: np.ndarray) -> np.ndarray:
+    """The same camera with its y axis up and looking along negative z."""
+    return pose @ np.diag([1.0, -1.0, -1.0, 1.0])
+
+
+def tangent(pose: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A path's control pose at ``pose`` between its neighbours: half the way between them, and the turn that evens out theirs."""
+    turns = so3_log(pose[:3, :3].T @ before[:3, :3]) + so3_log(pose[:3, :3].T @ after[:3, :3])
+    out = np.eye(4)
+    out[:3, :3] = pose[:3, :3] @ so3_exp(-turns / 4)
+    out[:3, 3] = (after[:3, 3] - before[:3, 3]) / 2
+    return out

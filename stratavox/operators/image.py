@@ -89,19 +89,24 @@ def cross_normals(pixels: DataFrame, intrinsics: tuple[float, float, float, floa
 
 
 def pca_normals(pixels: DataFrame, intrinsics: tuple[float, float, float, float], near2: float = 0.01, least: int = 9) -> DataFrame:
-    """(frame_id, v, u, n, nx, ny, nz): the direction of least spread in a 7 x 7 window, of points nearer than sqrt(``near2``)."""
+    """(frame_id, v, u, n, nx, ny, nz, weight): the direction of least spread in a 7 x 7 window, of points nearer than sqrt(``near2``).
+
+    NaN and weight -1 with fewer than ``least`` such points, or without a direction. Pixels without a depth have no row.
+    """
     points = _points(pixels, intrinsics)
     centre = points.withColumnsRenamed({c: f"c{c}" for c in "xyz"})
     rows = stencil(points, 3, ["x", "y", "z"]).join(centre, ["frame_id", "v", "u"])
     d = {c: F.col(c) - F.col(f"c{c}") for c in "xyz"}
-    rows = rows.where(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"] < near2)
+    rows = rows.where((d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"] < near2) & (F.col("z") > 1e-6) & (F.col("cz") > 1e-6))
     two = ("xx", "xy", "xz", "yy", "yz", "zz")
     m = rows.groupBy("frame_id", "v", "u", "cx", "cy", "cz").agg(F.count("*").alias("n"), *[F.sum(d[c]).alias(f"s{c}") for c in "xyz"], *[F.sum(d[a] * d[b]).alias(f"s{a}{b}") for a, b in two])
     cov = [F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("n") for a, b in two]
     m = with_smallest_eigenvector(m, cov, ["ex", "ey", "ez"])
     n = vec("ex", "ey", "ez")
     flip = F.when(dot(n, (F.col("cx"), F.col("cy"), F.col("cz"))) > 0, -1.0).otherwise(1.0)
-    return m.select("frame_id", "v", "u", "n", *[F.when(F.col("n") >= least, flip * x).otherwise(NAN).alias(f"n{c}") for x, c in zip(n, "xyz", strict=True)])
+    m = m.select("frame_id", "v", "u", "n", "cz", *[F.when(F.col("n") >= least, flip * x).otherwise(NAN).alias(f"n{c}") for x, c in zip(n, "xyz", strict=True)])
+    weight = F.when(F.isnan("nz"), -1.0).otherwise(sensor_weight(F.col("cz"), F.col("nz")))
+    return m.select("frame_id", "v", "u", "n", "nx", "ny", "nz", weight.alias("weight"))
 
 
 def project(x: Column, y: Column, z: Column, intrinsics: tuple[float, float, float, float]) -> tuple[Column, Column]:

@@ -126,3 +126,10 @@ def bounding_box(vertices: DataFrame, faces: DataFrame, vid: str = "vid", buffer
     centre = {c: (F.col(f"lo{c}") + F.col(f"hi{c}")) / 2 for c in "xyz"}
     half = {c: (F.col(f"hi{c}") - F.col(f"lo{c}") + buffer) / 2 for c in "xyz"}
     return ends.select(*[x.alias(f"{n}_{c}") for c in "xyz" for n, x in (("min", centre[c] - half[c]), ("max", centre[c] + half[c]))])
+
+
+def limited(triangles: DataFrame, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows by ``order``, with a column ``overflow`` that tells whether there were more. At most one row beyond is looked at."""
+    top = triangles.orderBy(order).limit(most + 1)
+    more = top.agg((F.count("*") > most).alias("overflow"))
+    return top.orderBy(order).limit(most).crossJoin(F.broadcast(more))

@@ -12,7 +12,7 @@ from stratavox.functions import geometry as geo
 from stratavox.functions import mlp
 from stratavox.functions.pose import inverse, se3_exp, se3_log
 from stratavox.operators import grid, image, mesh, reduce, sample, scan, spatial, track
-from stratavox.plans import mapping, views  # noqa: F401 (registers its queries)
+from stratavox.plans import mapping, networks, views  # noqa: F401 (register their queries)
 from stratavox.plans.registered import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 from stratavox.sources import rgbd, sinks
 from stratavox.sources.tables import read_table, workers_find_package
@@ -564,17 +564,6 @@ def mlp_linear(spark, sf_dir):
     return found.select("vec_id", F.posexplode("latent").alias("dim", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query()
-def mlp_encode(spark, sf_dir):
-    return mlp.encode(views.epts(spark, sf_dir), ["x", "y", "z", "nx", "ny", "nz"], mlp.synthetic([6, 32, 64, 256, 29])).select("vec_id", "latent")
-
-
-@query()
-def mlp_decode(spark, sf_dir):
-    coded = mlp.encode(views.epts(spark, sf_dir), ["x", "y", "z", "nx", "ny", "nz"], mlp.synthetic([6, 32, 64, 256, 29]))
-    return mlp.decode(coded, "latent", ["x", "y", "z"], mlp.synthetic([32, 128, 128, 96, 128, 2], (3,))).select("vec_id", "sdf", "std")
-
-
 @query()
 def march_cubes(spark, sf_dir):
     field = mesh.lattice(spark, 24, -1.0, 1.0).withColumn("sdf", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) - 0.7)
@@ -617,15 +606,6 @@ def gauss_newton_pose(spark, sf_dir):
     return spark.createDataFrame([(k, float(e)) for k, e in enumerate(found.energies)], "step int, energy double")
 
 
-@query()
-def rotation_augment(spark, sf_dir):
-    """Points turned about the y axis by a quarter turn or several and up to 30 degrees more, by a hash of the label."""
-    u = geo.uniform(F.col("label"))
-    angle = F.floor(u * 4) * (math.pi / 2) + geo.uniform(F.concat_ws(":", F.col("label").cast("string"), F.lit("b"))) * (math.pi / 6)
-    x, z = F.col("x") * F.cos(angle) + F.col("z") * F.sin(angle), F.col("z") * F.cos(angle) - F.col("x") * F.sin(angle)
-    return views.epts(spark, sf_dir).select("vec_id", x.alias("x"), "y", z.alias("z"))
-
-
 @query("SELECT " + _EG + " AS lin_id, round(avg(x),6)+0e0 AS cx, round(avg(y),6)+0e0 AS cy, round(avg(z),6)+0e0 AS cz, count(*)*1e0 AS obs_count FROM epts GROUP BY 1", "epts")
 def stream_voxel_state(spark, sf_dir):
     """The points as a stream of four files into the voxel state: the map after the last batch."""
