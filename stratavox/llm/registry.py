@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, licences, quality, quotes, secrets, urls
+from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, licences, quality, quotes, secrets, urls, vectors
+from stratavox.llm.tables import settle
 from stratavox.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +183,33 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licences.scan(docs, windows=True).drop("text")
     return found.select("doc_id", "licence", F.round("dice", 6).alias("dice"), "n_matches", F.array_join("licences", ",").alias("licences"))
+
+
+@query
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code and error, its label's error, and the digest of the codebooks."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vectors.fit(rows)
+    coded = settle(vectors.encode(rows, books).drop("embedding"), "codes")
+    found = vectors.with_sums(coded, "error", "label", "label_error")
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+_ASSIGN = "a{k} AS (SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (SELECT vec_id, k.part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM k JOIN c{k} USING (part)) GROUP BY 1, 2)"
+_MEANS = """c{n} AS (SELECT part, entry, coalesce(m, c) AS c FROM c{k} LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM k JOIN a{k} USING (vec_id, part), unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL) GROUP BY 1, 2) USING (part, entry))"""
+
+ORACLE_SQL["op11_vectors"] = f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT vec_id, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM e, unnest(range(16)) AS u(part)),
+c0 AS (SELECT part, entry, x AS c FROM k JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e QUALIFY entry < 64) USING (vec_id)),
+{_ASSIGN.format(k=0)},
+{_MEANS.format(k=0, n=1)},
+{_ASSIGN.format(k=1)},
+{_MEANS.format(k=1, n=2)},
+{_ASSIGN.format(k=2)},
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2),
+s AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM s JOIN e USING (vec_id), b
+"""
