@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, licences, quality, quotes, secrets, urls, vectors
+from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, licences, quality, quotes, secrets, tries, urls, vectors
 from stratavox.llm.tables import settle
 from stratavox.sources.tables import read_table
 
@@ -213,3 +213,28 @@ b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry
 s AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY 1)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM s JOIN e USING (vec_id), b
 """
+
+
+@query
+def op12_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with its members, children, leaves and savings."""
+    turns, convs = tries.in_order(read_table(spark, sf_dir, "conversations"))
+    return tries.trie(*tries.share_openings(turns, convs))
+
+
+ORACLE_SQL["op12_tries"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id AS c, conv_id - conv_id % 20 AS b, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))),
+    lambda v, z: list_reduce(list_concat([xor(v, z)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))) % 4 AS h FROM t),
+q AS (SELECT c, 0 AS own, pos, r, x FROM ids JOIN t ON conv_id = b WHERE pos < h UNION ALL SELECT c, 1, pos, r, x FROM ids JOIN t ON conv_id = c WHERE pos >= h),
+s AS (SELECT c, x, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, len(r) || ':' || r || x AS turn FROM q),
+p AS (SELECT c, d, sha256(string_agg(sha256(turn), ',') OVER (PARTITION BY c ORDER BY d)) AS k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM s UNION ALL SELECT c, 0, '', 0 FROM ids),
+l AS (SELECT c, max(d) AS d FROM p GROUP BY 1),
+n AS (SELECT p.d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE l.d = p.d), '') AS ends FROM p JOIN l USING (c) GROUP BY ALL),
+e AS (SELECT p.k AS k, p.d AS d, n.k AS under, n.d - p.d AS far, (n.n_convs - 1) * n.w AS saved, n.d AS nd FROM n JOIN p ON p.c = n.conv_id AND p.d <= n.d),
+m AS (SELECT k, d, count(*) FILTER (WHERE far = 1) AS n_children, sum(saved) AS saved_tokens FROM e GROUP BY 1, 2),
+f AS (SELECT e.k, e.d, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves FROM e JOIN m u ON u.k = under AND u.d = nd GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, v.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN m USING (k, d) JOIN f USING (k, d) LEFT JOIN (SELECT p.c, p.d + 1 AS d, n.conv_id FROM p JOIN n USING (k, d)) v ON v.c = n.conv_id AND v.d = n.d
+"""
