@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, licences, quality, quotes, secrets, tries, urls, vectors
+from stratavox.llm import bpe, decontaminate, extract, jaccard, langid, licences, pii, quality, quotes, secrets, tries, urls, vectors
 from stratavox.llm.tables import settle
 from stratavox.sources.tables import read_table
 
@@ -238,3 +238,16 @@ f AS (SELECT e.k, e.d, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves FROM
 SELECT n.conv_id, n.d AS depth, v.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
 FROM n JOIN m USING (k, d) JOIN f USING (k, d) LEFT JOIN (SELECT p.c, p.d + 1 AS d, n.conv_id FROM p JOIN n USING (k, d)) v ON v.c = n.conv_id AND v.d = n.d
 """
+
+
+@query
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of the plain spans, and all spans."""
+    found = pii.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: ~s["added"])
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: ~s["added"] & (s["kind"] == kind))).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
