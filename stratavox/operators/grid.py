@@ -71,8 +71,13 @@ def prune(points: DataFrame, grid: Grid, more_than: int) -> DataFrame:
     return found.join(full, "lin_id", "leftsemi")
 
 
-def dilate(cells: DataFrame, grid: Grid) -> DataFrame:
-    """Cells and their six face neighbours, clamped to the grid, each once."""
+def dilate(cells: DataFrame, grid: Grid, corners: bool = False) -> DataFrame:
+    """Cells and their six face neighbours (with ``corners`` all 26 around), clamped to the grid, each once."""
+    if corners:
+        rows = cells.select(*[g.cast("long").alias(n) for g, n in zip(grid.axes(F.col("lin_id")), ("gx", "gy", "gz"), strict=True)])
+        for n, size in zip(("gx", "gy", "gz"), grid.shape, strict=True):
+            rows = rows.withColumn(n, F.expr(f"explode(sequence(greatest({n} - 1, 0L), least({n} + 1, {size - 1}L)))"))
+        return rows.select(grid.linear(F.col("gx"), F.col("gy"), F.col("gz")).cast("long").alias("lin_id")).distinct()
     faces = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
     return grid.shifted(cells.select("lin_id"), faces).distinct()
 

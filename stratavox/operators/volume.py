@@ -88,14 +88,18 @@ def stitch(lattices: DataFrame, grid: Grid, r: int, weight: str = "std") -> Data
     return made
 
 
-def decode_set(voxels: DataFrame, dirty: DataFrame, grid: Grid, more_than: float) -> DataFrame:
-    """Voxels to decode for new meshes of the ``dirty`` ones: they and their face neighbours, of those seen more than so often."""
-    return voxels.where(F.col("obs_count") > more_than).join(dilate(dirty, grid), "lin_id", "left_semi")
+def decode_set(voxels: DataFrame, dirty: DataFrame, grid: Grid, more_than: float, corners: bool = False) -> DataFrame:
+    """Voxels to decode for new meshes of the ``dirty`` ones: they and their face neighbours (``corners``: all 26), of those seen more than so often."""
+    return voxels.where(F.col("obs_count") > more_than).join(dilate(dirty, grid, corners), "lin_id", "left_semi")
 
 
-def dirty_mesh(voxels: DataFrame, dirty: DataFrame, grid: Grid, r: int, decode: Decode, more_than: float = 0, gate: float | None = None, most_std: float | None = None) -> DataFrame:
-    """Triangles (lin_id, i, j, k, tri_no, v) of the cubes in dirty voxels only: what :func:`reduce.replace_by_key` puts into the cache."""
-    field = stitch(decode_lattice(decode_set(voxels, dirty, grid, more_than), r, decode, gate), grid, r)
+def dirty_mesh(voxels: DataFrame, dirty: DataFrame, grid: Grid, r: int, decode: Decode, more_than: float = 0, gate: float | None = None, most_std: float | None = None, corners: bool = False) -> DataFrame:
+    """Triangles (lin_id, i, j, k, tri_no, v) of the cubes in dirty voxels only: what :func:`reduce.replace_by_key` puts into the cache.
+
+    With face neighbours alone, corners on a voxel's edges miss the lattices of the
+    diagonal ones; with ``corners`` they are those of a mesh of all voxels.
+    """
+    field = stitch(decode_lattice(decode_set(voxels, dirty, grid, more_than, corners), r, decode, gate), grid, r)
     made = mesh.march(field, grid.size / r, grid.low, most_std)
     home = grid.linear(*[F.floor(F.col(a) / r).cast("long") for a in "ijk"])
     return made.withColumn("lin_id", home).join(dirty.select("lin_id").distinct(), "lin_id", "left_semi")
