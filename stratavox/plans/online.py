@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.operators import mesh
+from stratavox.functions import geometry as geo
+from stratavox.functions import heads, mlp
+from stratavox.operators import distance, image, mesh
 from stratavox.plans import views
-from stratavox.plans.mapping import _FACES, _ID, _MOVED, EPTS, R, _stitched
+from stratavox.plans.mapping import _FACES, _ID, _MOVED, _V, EPTS, R, TURN, _stitched, _voxels
 from stratavox.plans.registered import query
 from stratavox.sources.shared import fresh_path
+from stratavox.sources.tables import workers_find_package
 from stratavox.streaming.fusion import Fusion, Meshing
 
 #: Observations from which on a voxel takes no more and is optimised, and those beyond which it is meshed.
@@ -92,3 +96,48 @@ def stream_mesh(spark, sf_dir):
     fusion = _played(spark, sf_dir, Meshing(R, _decode, MESHED))
     total = lambda c: F.sum(F.aggregate("v", F.lit(0.0), lambda a, p: a + p[c]))
     return fusion.mesh(spark).groupBy("lin_id").agg(F.count("*").alias("n"), *[(F.round(total(c), 4) + 0.0).alias(f"sum_{c}") for c in "xyz"])
+
+
+#: The motion from the previous camera that the tracker's step is taken at, and the previous camera's place.
+DELTA = [[0.8, -0.6, 0.0, 0.02], [0.6, 0.8, 0.0, -0.03], [0.0, 0.0, 1.0, 0.01]]
+BEHIND = [0.05, -0.02, 0.04]
+_HIDDEN = 8
+
+
+def small_decoder() -> heads.Decoder:
+    """One hidden layer over three latents and a place, with synthetic weights."""
+    body, ends = mlp.synthetic([6, _HIDDEN]), mlp.synthetic([_HIDDEN, 2])[0]
+    return heads.Decoder(body, mlp.Layer(ends.weight[:1], ends.bias[:1]), mlp.Layer(ends.weight[1:], ends.bias[1:]))
+
+
+def _moved(names: str, rows: list[list[float]], out: str) -> str:
+    return ", ".join(f"{names}x*({r[0]}e0)+{names}y*({r[1]}e0)+{names}z*({r[2]}e0)+({r[3]}e0) AS {out}{c}" for r, c in zip(rows, "xyz", strict=True))
+
+
+_WEIGHT = "((7*i+3*{j})%11-5)/10e0"
+_HEAD = "list_dot_product(list_transform(range({n}), lambda j: ((7*{i}+3*j)%11-5)/10e0), list_transform(h, lambda a: greatest(a, 0e0)))+({i}-2)/10e0"
+_SLOPE = "list_sum(list_transform(range({n}), lambda i: CASE WHEN h[i+1] > 0 THEN (3*i%11-5)/10e0*{w} ELSE 0e0 END))"
+_HS = [f"h{a}{b}" for a in range(6) for b in range(a, 6)]
+_SUMS = ", ".join([f"round(avg(w*j{h[1]}*j{h[2]}),5)+0e0 AS {h}" for h in _HS] + [f"round(avg(w*j{k}*f),5)+0e0 AS g{k}" for k in range(6)])
+_POSE_STEP = f""", {_V}, a1 AS (SELECT {_moved("", DELTA, "p")} FROM epts), a2 AS (SELECT *, {_moved("p", [[*r, t] for r, t in zip(TURN, BEHIND, strict=True)], "w")} FROM a1),
+a3 AS (SELECT *, ceil((wx+1e0)/25e-2)-1 AS cx, ceil((wy+1e0)/25e-2)-1 AS cy, ceil((wz+1e0)/25e-2)-1 AS cz FROM a2 WHERE wx > -1 AND wx <= 1 AND wy > -1 AND wy <= 1 AND wz > -1 AND wz <= 1),
+a4 AS (SELECT px, py, pz, [lx, ly, lz, (wx+1e0)/25e-2-cx-5e-1, (wy+1e0)/25e-2-cy-5e-1, (wz+1e0)/25e-2-cz-5e-1] AS u FROM a3 JOIN v ON lin_id = CAST(cz+8*cy+64*cx AS BIGINT)),
+a5 AS (SELECT *, list_transform(range({_HIDDEN}), lambda i: list_dot_product(list_transform(range(6), lambda j: {_WEIGHT.format(j="j")}), u)+(i%5-2)/10e0) AS h FROM a4),
+a6 AS (SELECT *, tanh({_HEAD.format(n=_HIDDEN, i=0)}) AS sdf, 5e-2+ln(1+exp({_HEAD.format(n=_HIDDEN, i=1)}))/2 AS std FROM a5),
+a7 AS (SELECT *, sdf/std AS f, {", ".join(f"(1-sdf*sdf)*{_SLOPE.format(n=_HIDDEN, w=_WEIGHT.format(j=3 + k))}/25e-2 AS g{c}" for k, c in enumerate("xyz"))} FROM a6),
+a8 AS (SELECT *, {", ".join(f"(gx*({TURN[0][k]}e0)+gy*({TURN[1][k]}e0)+gz*({TURN[2][k]}e0))/std AS j{k}" for k in range(3))}, CASE WHEN abs(f) > 1e0 THEN 1e0/abs(f) ELSE 1e0 END AS w FROM a7),
+a9 AS (SELECT *, py*j2-pz*j1 AS j3, pz*j0-px*j2 AS j4, px*j1-py*j0 AS j5 FROM a8)
+SELECT count(*) AS m, {_SUMS}, round(avg(w*f*f),5) AS e FROM a9"""
+
+
+@query(_POSE_STEP, "epts")
+def distance_step(spark, sf_dir):
+    """One step's sums of the distance term: points moved into the map, decoded with their voxel's latent, and the network's gradient as the pose's Jacobian."""
+    workers_find_package(spark)
+    points = views.epts(spark, sf_dir)
+    voxels = _voxels(points).select("lin_id", F.array("lx", "ly", "lz").alias("latent"), "obs_count")
+    previous, delta = np.eye(4), np.vstack([np.array(DELTA), [0, 0, 0, 1]])
+    previous[:3, :3], previous[:3, 3] = TURN, BEHIND
+    rows = distance.Field(EPTS, voxels, small_decoder()).residuals(points.select("x", "y", "z"), previous, delta, lambda f: geo.huber_weight(f, 1.0))
+    found = image.normal_equations(rows)
+    return found.select("m", *[(F.round(c, 5) + 0.0).alias(c) for c in found.columns if c != "m"])
