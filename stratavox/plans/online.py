@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratavox.functions import geometry as geo
 from stratavox.functions import heads, mlp
-from stratavox.operators import distance, image, mesh
+from stratavox.operators import distance, image, learn, mesh
 from stratavox.plans import views
 from stratavox.plans.mapping import _FACES, _ID, _MOVED, _V, EPTS, R, TURN, _stitched, _voxels
 from stratavox.plans.registered import query
@@ -141,3 +141,36 @@ def distance_step(spark, sf_dir):
     rows = distance.Field(EPTS, voxels, small_decoder()).residuals(points.select("x", "y", "z"), previous, delta, lambda f: geo.huber_weight(f, 1.0))
     found = image.normal_equations(rows)
     return found.select("m", *[(F.round(c, 5) + 0.0).alias(c) for c in found.columns if c != "m"])
+
+
+_CODE = ", ".join(f"avg({'+'.join(f'{u}*({((7 * i + 3 * j) % 11 - 5) / 10}e0)' for j, u in enumerate(('rx', 'ry', 'rz', 'nx', 'ny', 'nz')))}+({(i % 5 - 2) / 10}e0)) AS l{i}" for i in range(3))
+_TRAIN_STEP = f""", b1 AS (SELECT {_ID} AS lin_id, {", ".join(f"(({c}+1e0)/25e-2-(ceil(({c}+1e0)/25e-2)-1)-5e-1) AS r{c}" for c in "xyz")}, nx, ny, nz FROM epts),
+b2 AS (SELECT lin_id, {_CODE} FROM b1 GROUP BY 1),
+b3 AS (SELECT greatest(least(nx*2e-1,1e-1),-1e-1) AS goal, [l0, l1, l2, rx, ry, rz] AS u, sqrt(l0*l0+l1*l1+l2*l2) AS far FROM b1 JOIN b2 USING (lin_id)),
+b4 AS (SELECT *, list_transform(range({_HIDDEN}), lambda i: list_dot_product(list_transform(range(6), lambda j: {_WEIGHT.format(j="j")}), u)+(i%5-2)/10e0) AS h FROM b3),
+b5 AS (SELECT *, {_HEAD.format(n=_HIDDEN, i=0)} AS d, {_HEAD.format(n=_HIDDEN, i=1)} AS s FROM b4),
+b6 AS (SELECT *, greatest(least(tanh(d),1e-1),-1e-1)-goal AS error, 5e-2+ln(1+exp(s))/2 AS std FROM b5),
+b7 AS (SELECT *, CASE WHEN abs(tanh(d)) <= 1e-1 THEN error/(std*std)*(1-tanh(d)*tanh(d)) ELSE 0e0 END AS bd, (1/std-error*error/(std*std*std))/(1+exp(-s))/2 AS bs FROM b6),
+b8 AS (SELECT 'distance' AS part, i, avg(bd*CASE WHEN i < {_HIDDEN} THEN greatest(h[i+1], 0e0) ELSE 1e0 END) AS g FROM b7, range({_HIDDEN + 1}) t(i) GROUP BY ALL
+ UNION ALL SELECT 'deviation', i, avg(bs*CASE WHEN i < {_HIDDEN} THEN greatest(h[i+1], 0e0) ELSE 1e0 END) FROM b7, range({_HIDDEN + 1}) t(i) GROUP BY ALL
+ UNION ALL SELECT 'loss', 0, avg(error*error/(2*std*std)+ln(std)+ln(2*pi())/2+5e-3*far) FROM b7)
+SELECT part, CAST(i AS BIGINT) AS place, round(g,5)+0e0 AS g FROM b8"""
+
+
+def training_rows(spark, sf_dir) -> DataFrame:
+    """Every point as a sample and a surface point of its voxel, its place relative to it."""
+    cells = EPTS.cells(views.epts(spark, sf_dir))
+    places = [((F.col(c) + 1.0) / 0.25 - F.col(f"g{c}") - 0.5).alias(c) for c in "xyz"]
+    return cells.select("lin_id", *places, "nx", "ny", "nz", (F.col("nx") * 0.2).alias("sdf"))
+
+
+@query(_TRAIN_STEP, "epts")
+def training_gradient(spark, sf_dir):
+    """The first training step's loss, and its gradient by the weights and biases of both heads: samples met latents pooled from surface points."""
+    workers_find_package(spark)
+    rows = training_rows(spark, sf_dir)
+    trainer = learn.Trainer(small_decoder(), mlp.synthetic([6, 3]), (lambda e: 0.01, lambda e: 0.01), learn.Loss(0.1, 0.5, 100))
+    by_decoder, _, loss = trainer.gradients(rows, rows, 1)
+    ends = by_decoder[-2 * (_HIDDEN + 1) :].reshape(2, -1).tolist()
+    found = [(name, k, g) for name, values in zip(("distance", "deviation"), ends, strict=True) for k, g in enumerate(values)] + [("loss", 0, loss)]
+    return spark.createDataFrame(found, "part string, place long, g double").withColumn("g", F.round("g", 5) + 0.0)
