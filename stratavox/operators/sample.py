@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavox.functions.augment import gaussian
 from stratavox.functions.geometry import barycentric, triangle_area, uniform, vec
 from stratavox.operators.grid import Grid
 from stratavox.operators.scan import interval_lookup, prefix_sum
-from stratavox.operators.spatial import near_pairs
+from stratavox.operators.spatial import near_pairs, vote_sdf
+from stratavox.sources.shared import settle
 
 
 def areas(triangles: DataFrame) -> DataFrame:
@@ -55,14 +60,14 @@ def with_replacement(df: DataFrame, stratum: str, key: str, draws: int) -> DataF
     return draw.join(placed.select(stratum, "place", key), [stratum, "place"]).select(stratum, "draw", key)
 
 
-def training_voxels(samples: DataFrame, surface: DataFrame, grid: Grid, reach: float, least: int, low: float, high: float) -> DataFrame:
-    """Voxels that are worth training on: (lin_id, n_near, n_local, n_surface, positive).
+def training_voxels(samples: DataFrame, surface: DataFrame, grid: Grid, reach: float, least: int, low: float, high: float, cells: DataFrame | None = None) -> DataFrame:
+    """Voxels that are worth training on, of those that hold surface points or of ``cells`` (lin_id): (lin_id, n_near, n_local, n_surface, positive).
 
     Voxel centres are joined with samples (sid, x, y, z, sdf) and surface points
     (pid, x, y, z) within a box of ``reach`` cells; kept are those with enough of
     both in their own cell and a share of positive samples within [low, high].
     """
-    cells = grid.cells(surface).select("lin_id").distinct()
+    cells = grid.cells(surface).select("lin_id").distinct() if cells is None else cells
     g = grid.axes(F.col("lin_id"))
     centre = cells.select(F.col("lin_id").alias("qid"), *[((a + 0.5) * grid.size + lo).alias(c) for a, lo, c in zip(g, grid.low, "xyz", strict=True)])
     near = near_pairs(centre, samples.withColumnRenamed("sid", "pid"), grid.size * reach / 2, chebyshev=True)
@@ -100,3 +105,73 @@ def batches(df: DataFrame, key: str, size: int, digits: int = 3) -> DataFrame:
     place = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy("_md5", key)) - 1
     placed = rows.join(F.broadcast(ends), "_range").withColumn("batch", F.floor(place / size))  # at most 16^digits rows
     return placed.where(F.col("batch") < F.floor(F.col("_total") / size)).drop("_md5", "_range", "_start", "_total")
+
+
+def near_surface(triangles: DataFrame, count: int, deviations: tuple[float, ...]) -> DataFrame:
+    """``count`` surface points by area, each moved by normal noise of every one of ``deviations``: (sid, x, y, z), sid = point * deviations + which."""
+    on = surface_samples(triangles, count)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(d)).alias("d")) for k, d in enumerate(deviations)]))
+    rows = on.withColumn("_m", each).select((F.col("sid") * len(deviations) + F.col("_m.k")).alias("sid"), *"xyz", F.col("_m.d").alias("_d"))
+    key = F.concat_ws(":", F.lit("near"), F.col("sid").cast("string"))
+    return rows.select("sid", *[(F.col(c) + F.col("_d") * gaussian(key, c)).alias(c) for c in "xyz"])
+
+
+def in_box(box: DataFrame, count: int, first: int = 0) -> DataFrame:
+    """``count`` points spread evenly over a box, one row (min_x, max_x, ..): (sid, x, y, z), sid from ``first`` on."""
+    rows = box.sparkSession.range(count).select((F.col("id") + first).alias("sid")).crossJoin(F.broadcast(box))  # one row
+    key = lambda c: F.concat_ws(":", F.lit("box"), F.col("sid").cast("string"), F.lit(c))
+    return rows.select("sid", *[(F.col(f"min_{c}") + uniform(key(c)) * (F.col(f"max_{c}") - F.col(f"min_{c}"))).alias(c) for c in "xyz"])
+
+
+@dataclass(frozen=True)
+class Sampler:
+    """How a shape is sampled for training.
+
+    ``count`` samples, ``near`` of them (a share) in pairs about surface points
+    with variances ``variance`` and a fifth of it, the others over the box of the
+    used vertices, wider by ``expand``. Distances are voted by ``votes`` surface
+    points. Voxels with ``least`` samples and surface points and a share of
+    positive samples within [low, high] give records; see :func:`training_voxels`.
+    """
+
+    grid: Grid
+    count: int
+    near: float = 0.8
+    variance: float = 0.02
+    expand: float = 0.2
+    votes: int = 11
+    furthest: float | None = None
+    reach: float = 2.0
+    least: int = 50
+    low: float = 0.1
+    high: float = 0.9
+    radius: float = 0.1
+    scale: float = 1.0
+
+    def samples(self, triangles: DataFrame, surface: DataFrame) -> DataFrame:
+        """(sid, x, y, z, sdf) of a shape's triangles against surface points (pid, x, y, z, nx, ny, nz); disagreeing votes are dropped, and all lengths multiplied by ``scale``."""
+        pairs = int(self.count * self.near) // 2
+        about = near_surface(triangles, pairs, (math.sqrt(self.variance), math.sqrt(self.variance / 5)))
+        corners = triangles.select(F.explode(F.array(*[F.struct(*[F.col(f"{v}{c}{'_' if v + c == 'by' else ''}").alias(c) for c in "xyz"]) for v in "abc"])).alias("p")).select("p.*")
+        ends = corners.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+        box = ends.select(*[(F.col(f"{n}{c}") + s * self.expand / 2).alias(f"{m}_{c}") for c in "xyz" for n, m, s in (("lo", "min", -1), ("hi", "max", 1))])
+        places = settle(about.unionByName(in_box(box, self.count - 2 * pairs, 2 * pairs)), "places")
+        voted = vote_sdf(places.withColumnRenamed("sid", "qid"), surface, self.votes, math.sqrt(self.variance / 5), self.radius, self.furthest)
+        kept = places.join(voted.where(~F.isnan("sdf")).withColumnRenamed("qid", "sid"), "sid")
+        return kept.select("sid", *[(F.col(c) * self.scale).alias(c) for c in ("x", "y", "z", "sdf")])
+
+    def records(self, triangles: DataFrame, surface: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Samples (lin_id, sid, x, y, z, sdf) and surface points (lin_id, pid, x, y, z, nx, ny, nz) of the voxels that are worth training on, relative to their centres and in cells.
+
+        A voxel is one that holds samples. Surface points with a NaN normal are dropped first.
+        """
+        good = surface.where(~(F.isnan("nx") | F.isnan("ny") | F.isnan("nz")))
+        made = settle(self.samples(triangles, good), "samples")
+        on = good.select("pid", *[(F.col(c) * self.scale).alias(c) for c in "xyz"], "nx", "ny", "nz")
+        cells = self.grid.cells(made).select("lin_id").distinct()
+        voxels = settle(training_voxels(made, on, self.grid, self.reach, self.least, self.low, self.high, cells), "voxels")
+        g = self.grid.axes(F.col("lin_id"))
+        centre = voxels.select(F.col("lin_id").alias("qid"), *[((a + 0.5) * self.grid.size + lo).alias(c) for a, lo, c in zip(g, self.grid.low, "xyz", strict=True)])
+        near = near_pairs(centre, on, self.grid.size * self.reach / 2, chebyshev=True)
+        around = near.select(F.col("qid").alias("lin_id"), "pid", *[((F.col(c) - F.col(f"q{c}")) / self.grid.size).alias(c) for c in "xyz"], "nx", "ny", "nz")
+        return training_records(voxels, made, self.grid, self.reach), around

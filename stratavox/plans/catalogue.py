@@ -58,6 +58,18 @@ def voxel_downsample(spark, sf_dir):
     return found.select("bx", "by", "bz", "n", r6("mx"), r6("my"), r6("mz"), r6("mw"))
 
 
+@query(
+    """, m AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz FROM epts)
+SELECT CAST(floor((x-(lx-5e-2))/1e-1) AS BIGINT) AS bx, CAST(floor((y-(ly-5e-2))/1e-1) AS BIGINT) AS by, CAST(floor((z-(lz-5e-2))/1e-1) AS BIGINT) AS bz,
+count(*) AS n, round(avg(x),6)+0e0 AS mx, round(avg(y),6)+0e0 AS my, round(avg(z),6)+0e0 AS mz, round(avg(nx),6)+0e0 AS mnx FROM epts, m GROUP BY 1,2,3""",
+    "epts",
+)
+def downsample_with_normals(spark, sf_dir):
+    """Points and their normals averaged in cells of 0.1 from half a cell below the minimum."""
+    found = grid.downsample(views.epts(spark, sf_dir), 0.1, ("nx",))
+    return found.select("bx", "by", "bz", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mx", "my", "mz", "mnx")])
+
+
 @query(f", {_G} SELECT count(*) AS voxels, round(avg(n),6) AS mean, min(n) AS least, max(n) AS most FROM (SELECT count(*) AS n FROM g GROUP BY lin_id)", "pts")
 def voxel_stats(spark, sf_dir):
     n = grid.occupancy(views.pts(spark, sf_dir), PTS)
@@ -394,6 +406,40 @@ def cdf_sample(spark, sf_dir):
     return found.select("sid", "tri_id", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"])
 
 
+_NORMAL = lambda c: f"sqrt(-2*ln(1-{_u(f"'near:'||sid||':{c}/r'")}))*cos(2*pi()*{_u(f"'near:'||sid||':{c}/t'")})"
+_BARY = lambda c, b: f"wa*a{c}+(1-wa)*(1-r2)*{b}+r2*(1-wa)*c{c}"
+_SAMPLES = f""", {_CDF}, z AS (SELECT 4*count(*) AS n, CAST(floor(4*count(*)*8e-1) AS BIGINT)//2 AS pairs FROM tri),
+k AS (SELECT *, lag(cdf,1,0e0) OVER (ORDER BY tri_id) AS below, max(cdf) OVER () AS total FROM c),
+s AS (SELECT i AS sid, {_u("i||':t'")} AS t, {_u("i||':a'")} AS r1, {_u("i||':b'")} AS r2 FROM z, unnest(range(pairs)) q(i)),
+w AS (SELECT s.*, k.*, 1-sqrt(r1) AS wa FROM s JOIN k ON t*total > below AND t*total <= cdf),
+nr AS (SELECT sid*2+m AS sid, {_BARY('x', 'bx')} AS x, {_BARY('y', 'by_')} AS y, {_BARY('z', 'bz')} AS z, dev FROM w, (VALUES (0, sqrt(2e-2)), (1, sqrt(2e-2/5))) v(m, dev)),
+bo AS (SELECT {", ".join(f"least(min(a{c}),min({b}),min(c{c}))-1e-1 AS lo{c}, greatest(max(a{c}),max({b}),max(c{c}))+1e-1 AS hi{c}" for c, b in (("x", "bx"), ("y", "by_"), ("z", "bz")))} FROM tri),
+un AS (SELECT 2*pairs+i AS sid FROM z, unnest(range(n-2*pairs)) q(i)),
+q AS (SELECT sid AS qid, {", ".join(f"{c}+dev*{_NORMAL(c)} AS {c}" for c in "xyz")} FROM nr
+ UNION ALL SELECT sid, {", ".join(f"lo{c}+{_u(f"'box:'||sid||':{c}'")}*(hi{c}-lo{c}) AS {c}" for c in "xyz")} FROM un, bo),
+p AS (SELECT a.qid, b.vec_id AS pid, {_D2} AS d2, b.nx*(a.x-b.x)+b.ny*(a.y-b.y)+b.nz*(a.z-b.z) AS side FROM q a, epts b),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, pid) AS rank FROM p),
+vo AS (SELECT qid, min(CASE WHEN rank = 1 THEN sqrt(d2) END) AS d, min(CASE WHEN rank = 1 THEN abs(side) END) AS s, sum(CASE WHEN side > 0 THEN 1 ELSE 0 END) AS plus, count(*) AS n FROM rk WHERE rank <= 3 GROUP BY 1),
+sm AS (SELECT qid AS sid, x*15e-1 AS x, y*15e-1 AS y, z*15e-1 AS z, CASE WHEN plus = n THEN 15e-1 ELSE -15e-1 END * CASE WHEN d < sqrt(2e-2/5) THEN s ELSE d END AS sdf FROM vo JOIN q USING (qid) WHERE plus = n OR plus = 0),
+ce AS (SELECT DISTINCT {", ".join(f"ceil(({c}+2e0)/5e-1)-1 AS g{c}" for c in "xyz")} FROM sm WHERE {" AND ".join(f"{c} > -2 AND {c} <= 2" for c in "xyz")}),
+ct AS (SELECT CAST(gz+8*gy+64*gx AS BIGINT) AS lin_id, {", ".join(f"(g{c}+5e-1)*5e-1-2e0 AS m{c}" for c in "xyz")} FROM ce),
+ns AS (SELECT *, greatest({", ".join(f"abs({c}-m{c})" for c in "xyz")}) AS far FROM ct, sm WHERE {" AND ".join(f"abs({c}-m{c}) <= 5e-1" for c in "xyz")}),
+on_ AS (SELECT lin_id, count(*) AS n_surface FROM ct, epts WHERE {" AND ".join(f"abs({c}*15e-1-m{c}) <= 5e-1" for c in "xyz")} GROUP BY 1),
+kp AS (SELECT lin_id FROM ns JOIN on_ USING (lin_id) GROUP BY lin_id HAVING count_if(far <= 25e-2) >= 3 AND any_value(n_surface) >= 3 AND count_if(sdf > 0)/count(*) BETWEEN 1e-1 AND 9e-1)
+SELECT lin_id, sid, {", ".join(f"round((s{c}-m{c})/5e-1,5)+0e0 AS {c}" for c in "xyz")}, round(sdf/5e-1,5)+0e0 AS sdf FROM (SELECT lin_id, sid, x AS sx, y AS sy, z AS sz, mx, my, mz, sdf FROM ns) WHERE lin_id IN (SELECT lin_id FROM kp)"""
+
+
+@query(_SAMPLES, "epts", "tri")
+def sampler_records(spark, sf_dir):
+    """Training records of the triangles against the points: samples about the surface and in its box, voted distances, voxels worth training on."""
+    triangles = views.tri(spark, sf_dir)
+    surface = views.epts(spark, sf_dir).select(F.col("vec_id").alias("pid"), "x", "y", "z", "nx", "ny", "nz")
+    wide = grid.Grid((-2.0, -2.0, -2.0), 0.5, (8, 8, 8))
+    sampler = sample.Sampler(wide, 4 * triangles.count(), votes=3, least=3, scale=1.5, radius=0.2)
+    found, _ = sampler.records(triangles, surface)
+    return found.select("lin_id", "sid", *[(F.round(c, 5) + 0.0).alias(c) for c in ("x", "y", "z", "sdf")])
+
+
 @query(
     """SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM epts
 WHERE vec_id < (SELECT count(*)//3*3 FROM epts) AND vec_id//3%2=0""",
