@@ -8,6 +8,7 @@ is a secret if the ratio of its likelihoods is high enough.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,10 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST_RATIO = 0.25
+#: A token character, and what stands for it where a pattern's match covers it (a private character; the text's own are taken for ``OTHER``, which no pattern holds either).
+TOKEN, COVERED, OTHER = "[A-Za-z0-9+/_=-]", "\ue000", "\ue001"
+#: Rows of a chunk of an array, and characters of a piece of a text.
+CHUNK, PIECE = 256, 4096
 
 
 @dataclass(frozen=True)
@@ -72,21 +77,58 @@ def mean_ratio(value: Column, ratios: Ratios) -> Column:
     return F.element_at(F.transform(F.array(_classes(value)), of), 1)
 
 
-def _found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches: what stands between matches and the matches, laid end to end."""
-    order = KINDS.index(kind)
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _before(rows: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of the values of all rows before each, from 0 on.
+
+    Rows go in chunks, first chunk by chunk, then within each: an array that grew row by row would be copied for every row.
+    """
+
+    def grown(rows: Column, start: Column, value: Callable[[Column], Column]) -> Column:
+        empty = F.struct(start.alias("at"), F.expr("CAST(array() AS array<int>)").alias("all"))
+        step = lambda a, x: F.struct(join(a["at"], value(x)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all"))
+        return F.aggregate(rows, empty, step, lambda a: a["all"])
+
+    last = F.floor((F.size(rows) - 1) / CHUNK).cast("int")
+    chunks = F.when(F.size(rows) > 0, F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))).otherwise(F.slice(F.array(rows), 1, 0))
+
+    def within(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda ch: F.aggregate(ch, F.lit(0), lambda a, x: join(a, value(x))))
+        starts = grown(totals, F.lit(0), lambda t: t)
+        return F.flatten(F.zip_with(chunks, starts, lambda ch, start: grown(ch, start, value)))
+
+    return _let(chunks, within)
+
+
+def _parts(text: Column, pattern: str, group: int = 0) -> tuple[Column, Column]:
+    """What stands before each leftmost non-overlapping match (``b``), the match (``m``) and a group of it (``v``); and all that stands between them."""
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("b"), matches.alias("m"), values.alias("v"))
-    empty = F.expr(f"struct(0 AS at, CAST(array() AS {_SPANS}) AS spans)")
+    return F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("b"), matches.alias("m"), values.alias("v")), between
+
+
+def _found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
+    """Spans of the leftmost non-overlapping matches: what stands between matches and the matches, laid end to end."""
+    order = F.lit(KINDS.index(kind))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+    def spans(rows: Column) -> Column:
+        before = _before(rows, lambda x: F.length(x["b"]) + F.length(x["m"]), lambda a, n: a + n)
+        start = lambda x, at: at + F.length(x["b"])
+        made = F.zip_with(rows, before, lambda x, at: F.struct(start(x, at).alias("start"), order.alias("kind"), (start(x, at) + F.length(x["m"])).alias("end"), x["v"].alias("value")))
+        return F.filter(made, lambda x: F.length(x["value"]) >= least) if least else made
 
-    return F.aggregate(rows, empty, step, lambda a: a["spans"])
+    return _let(_parts(text, pattern, group)[0], spans)
+
+
+def _masked(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """The text with ``COVERED`` in place of the token characters of all matches."""
+    rows, between = _parts(text, pattern, group)
+    hidden = lambda x: F.when(F.length(x["v"]) >= least, F.regexp_replace(x["m"], TOKEN, COVERED)).otherwise(x["m"])
+    return F.concat(F.array_join(F.transform(rows, lambda x: F.concat(x["b"], hidden(x))), ""), F.element_at(between, -1))
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -100,9 +142,9 @@ def scan(df: DataFrame, ratios: Ratios, text: str = "text") -> DataFrame:
     non-overlapping, each kind by itself. Of the runs of token characters that
     overlap none of these spans, those whose mean ratio is at least
     ``LEAST_RATIO`` and that hold a letter and a digit are spans of kind markov.
-    A null or empty text has none.
+    A null or empty text has none. Time is linear in a text, however many matches it has.
     """
-    helpers = ("_assign", "_access", "_hex", "_runs", "_base", "_more")
+    helpers = ("_assign", "_access", "_hex", "_hidden", "_runs", "_base", "_more")
     df, back = set_aside(df, *helpers)
     body = F.coalesce(F.col({v: k for k, v in back.items()}.get(text, text)), F.lit(""))
     low = F.lower(body)
@@ -110,21 +152,31 @@ def scan(df: DataFrame, ratios: Ratios, text: str = "text") -> DataFrame:
     hint = F.lit(False)
     for word in _KEYWORDS:
         hint = hint | F.contains(low, F.lit(word))
+    searches = {"_assign": (ASSIGN, "assign", 2, 6), "_access": (ACCESS, "access"), "_hex": (HEX, "hex")}
     df = df.drop("spans").withColumns(
         {
-            "_assign": F.when(hint, _found(body, ASSIGN, "assign", 2, 6)).otherwise(none),
-            "_access": F.when(F.contains(body, F.lit("AKIA")), _found(body, ACCESS, "access")).otherwise(none),
-            "_hex": F.when(body.rlike(HEX), _found(body, HEX, "hex")).otherwise(none),
-            "_runs": F.when(body.rlike(CANDIDATE), _found(body, CANDIDATE, "markov")).otherwise(none),
+            "_assign": F.when(hint, _found(body, *searches["_assign"])).otherwise(none),
+            "_access": F.when(F.contains(body, F.lit("AKIA")), _found(body, *searches["_access"])).otherwise(none),
+            "_hex": F.when(body.rlike(HEX), _found(body, *searches["_hex"])).otherwise(none),
         }
     )
     df = df.withColumn("_base", F.concat("_assign", "_access", "_hex"))
+    # the runs of the text, and the same runs with what each pattern found in them hidden
+    able = body.rlike(CANDIDATE)
+    plain = F.translate(body, COVERED, OTHER)
+    runs = F.lit(CANDIDATE.replace("A-Z", f"{COVERED}A-Z"))
+    hidden = [F.when(able & (F.size(c) > 0), F.regexp_extract_all(_masked(plain, p, *more), runs, F.lit(0))).otherwise(F.expr("CAST(array() AS array<string>)")) for c, (p, _, *more) in searches.items()]
+    df = df.withColumns({"_runs": F.when(able, _found(plain, CANDIDATE, "markov")).otherwise(none), "_hidden": F.struct(*[h.alias(f"h{k}") for k, h in enumerate(hidden)])})
 
     def judged(x: Column) -> Column:
-        apart = ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return apart & x["value"].rlike("[A-Za-z]") & x["value"].rlike("[0-9]") & (mean_ratio(x["value"], ratios) >= LEAST_RATIO)
-
-    df = df.withColumn("_more", F.filter("_runs", judged))
+        apart = F.lit(True)
+        for k in range(len(hidden)):
+            apart = apart & ~F.coalesce(F.contains(x[f"h{k}"], F.lit(COVERED)), F.lit(False))
+        value = x["r"]["value"]
+        return apart & value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (mean_ratio(value, ratios) >= LEAST_RATIO)
+
+    met = F.arrays_zip(F.col("_runs").alias("r"), *[F.col(f"_hidden.h{k}").alias(f"h{k}") for k in range(len(hidden))])
+    df = df.withColumn("_more", F.transform(F.filter(met, judged), lambda x: x["r"]))
     df = df.withColumn("spans", F.array_sort(F.concat("_base", "_more")))
     return df.drop(*helpers).withColumnsRenamed(back)
 
@@ -136,14 +188,28 @@ def written(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace in column ``text`` each stretch that spans of column ``spans`` cover by ``mark``; all else stays. Drops ``spans``."""
-    start = "struct(0 AS at, '' AS done)"
-    body = f"`{text}`"
-    step = f"""(a, s) -> CASE
-        WHEN s.start < a.at THEN struct(greatest(a.at, s.end) AS at, a.done AS done)
-        ELSE struct(s.end AS at, concat(a.done, substr({body}, a.at + 1, s.start - a.at), '{mark}') AS done) END"""
-    whole = f"aggregate(spans, {start}, {step}, a -> concat(a.done, substr({body}, a.at + 1)))"
-    return df.withColumn(text, F.expr(f"CASE WHEN size(spans) > 0 THEN {whole} ELSE {body} END")).drop("spans")
+    """Replace in column ``text`` each stretch that spans of column ``spans`` cover by ``mark``; all else stays. Drops ``spans``.
+
+    Spans are in the order of their starts; where they overlap or touch the same characters, one mark stands for all of them.
+    """
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        """The characters from ``start`` to before ``end``, of the pieces that hold them only."""
+        first = lambda c: F.greatest(start - c * PIECE, F.lit(0))
+        part = lambda c: F.substring(F.get(pieces, c), first(c) + 1, F.least(end - c * PIECE, F.lit(PIECE)) - first(c))
+        held = F.sequence(F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int"))
+        return F.when(end > start, F.array_join(F.transform(held, part), "")).otherwise(F.lit(""))
+
+    def whole(x: Column) -> Column:
+        spans, reach, pieces = x["spans"], x["reach"], x["pieces"]
+        gap = lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(cut(pieces, at, s["start"]), F.lit(mark)))
+        end = F.greatest(F.element_at(reach, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(F.zip_with(spans, reach, gap), ""), cut(pieces, end, x["size"]))
+
+    reach = _before(F.col("spans"), lambda s: s["end"], lambda a, e: F.greatest(a, e))
+    given = F.struct(F.col("spans"), reach.alias("reach"), pieces.alias("pieces"), F.length(F.col(text)).alias("size"))
+    return df.withColumn(text, F.when(F.size("spans") > 0, _let(given, whole)).otherwise(F.col(text))).drop("spans")
 
 
 def training_sample(docs: DataFrame, text: str = "text", rows: int = 2000, strings: int = 3000, most_pairs: int = 20_000) -> DataFrame:
