@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -102,6 +102,9 @@ TEMPLATES += list(TEXTS.items())
 #: Where a licence is granted, a reservation of all other rights doesn't name it.
 RESERVED = "proprietary"
 
+#: Words of a block in which stretches are looked up.
+BLOCK = 64
+
 _WORD = re.compile(r"[a-z0-9]+")
 _WORDS_IN = re.compile(r"[^\W_]")
 
@@ -116,6 +119,27 @@ def bigrams(words: list[str]) -> frozenset[tuple[str, str]]:
     return frozenset(zip(words, words[1:], strict=False)) if len(words) > 1 else frozenset((w, "") for w in words)
 
 
+class Places:
+    """Stretches of words, found again by the blocks of ``BLOCK`` words that they reach into: a look-up costs what lies near, not all there is."""
+
+    def __init__(self, stretches: Iterable[tuple] = ()) -> None:
+        self.blocks: dict[int, list[tuple]] = {}
+        for x in stretches:
+            self.add(x)
+
+    def add(self, x: tuple) -> None:
+        """Add a stretch: a tuple that begins with start and end."""
+        for k in range(x[0] // BLOCK, (x[1] - 1) // BLOCK + 1):
+            self.blocks.setdefault(k, []).append(x)
+
+    def over(self, start: int, end: int) -> Iterator[tuple]:
+        """The stretches that share a word with this one; some may come more than once."""
+        for k in range(start // BLOCK, (end - 1) // BLOCK + 1):
+            for x in self.blocks.get(k, ()):
+                if x[0] < end and start < x[1]:
+                    yield x
+
+
 @dataclass(frozen=True)
 class Templates:
     """Templates by size and an index from bigrams to the templates that hold them."""
@@ -214,11 +238,12 @@ class Templates:
                     dice = 2 * shared / (len(counts) + mine)
                     if dice >= least:
                         found.append((-shared, -dice, start, self.names[k], k, start + length))
-        taken, kept = bytearray(len(words)), []
+        kept, places = [], Places()
         for less, dice, start, _, k, end in sorted(found):
-            if taken.find(1, start, end) < 0 or not any(a < end and start < b and self.part(k, other) >= least for a, b, _, other, _ in kept):
-                taken[start:end] = b"\1" * (end - start)
+            # windows of one template that stay don't overlap, so few are near
+            if not any(self.part(k, other) >= least for _, _, _, other, _ in places.over(start, end)):
                 kept.append((start, end, -dice, k, -less))
+                places.add(kept[-1])
         return kept
 
 
@@ -262,15 +287,16 @@ def scan_text(text: str | None, templates: Templates, least: float, windows: boo
             best = templates.best(words[a:b], least)
             if best:
                 found.append((a, b, *best))
+        places = Places(found)
         for window in templates.windows(words, least) if windows else ():
-            overlapped = [x for x in found if x[0] < window[1] and window[0] < x[1]]
-            if all(window[4] > x[4] or templates.part(window[3], x[3]) < least for x in overlapped):
+            if all(window[4] > x[4] or templates.part(window[3], x[3]) < least for x in places.over(window[0], window[1])):
                 found.append(window)
+                places.add(window)
 
         def gives_way(x: tuple[int, int, float, int, int], y: tuple[int, int, float, int, int]) -> bool:
             return y[0] <= x[0] and x[1] <= y[1] and y[4] > x[4] and names[y[3]] != names[x[3]] and templates.part(x[3], y[3]) >= least
 
-        found = [x for x in found if not any(gives_way(x, y) for y in found)]
+        found = [x for x in found if not any(gives_way(x, y) for y in places.over(x[0], x[0] + 1))]
     top = min(((names[k] == RESERVED, -dice, names[k]) for _, _, dice, k, _ in found), default=(False, 0.0, None))
     return top[2], abs(top[1]), len(found), sorted({names[x[3]] for x in found})
 
