@@ -36,6 +36,11 @@ _WORDS = frozenset(
 )
 # What may stand beside such words in one token (site-header, ad-slot); any other piece (has-sidebar, entry-header) makes the token say something else.
 _NEUTRAL = frozenset("site global top bottom bar box block slot unit list links buttons form area articles posts stories".split())
+# Adverts, comments and the like stay such in whatever holds them (ad-container, comments-section); headers and menus don't (section-header).
+_SURE = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus newsletter popup promo related replies respond sharing signup sponsor sponsored".split()
+)
+_HOLDS = frozenset("body container content contents group holder inner item items module outer panel placeholder row section space wrap wrapper zone".split())
 _PIECE = re.compile(r"[a-z0-9]+")
 # Of these, what frames the main text leaves a gap as wide as a window; an advert or a box between its paragraphs a single line.
 _FRAME = frozenset("nav header footer form menu".split())
@@ -69,9 +74,10 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 def _marks(token: str) -> bool:
-    """Whether a token of a class or id names what holds no main text: all its pieces are such words or neutral ones."""
+    """Whether a token of a class or id names what holds no main text: all its pieces are such words or neutral ones, beside sure ones also what holds them."""
     pieces = _PIECE.findall(token.lower())
-    return any(x in _WORDS for x in pieces) and all(x in _WORDS or x in _NEUTRAL for x in pieces)
+    beside = _NEUTRAL | _HOLDS if any(x in _SURE for x in pieces) else _NEUTRAL
+    return any(x in _WORDS for x in pieces) and all(x in _WORDS or x in beside for x in pieces)
 
 
 def _aside(name: str, attributes: str, in_article: bool) -> int:

@@ -421,6 +421,9 @@ def test_main_text_by_distribution_alone():
         ('<article class="post category-social"><p>One.</p></article><aside>a</aside>', "One."),
         ('<div class="sidebar">s</div><article class="sidebar comments" id="notice"><p>One.</p></article>', "One."),
         ('<div class="content with-sidebar"><p>One.</p></div><div class="site-footer">f</div>', "One."),
+        ('<article><p>One.</p><div class="ad-container">a</div><p>Two.</p><div class="advert-wrapper">b</div><div class="comments-section">c</div></article>', "One. Two."),
+        ('<div class="ad-container"><p>Buy.</p></div><div class="content"><p>One.</p></div><div id="inner-comments-holder">c</div>', "One."),
+        ('<article><h2 class="section-header">T</h2><p class="content-header">One.</p><div class="body-content">Two.</div></article>', "T One. Two."),
         ('<article><div class="entry-header"><h1>T</h1></div><h2 class="section-header">S</h2><p>One.</p></article>', "T S One."),
         ('<section class="widget"><article><p>One.</p></article><div class="ad">a</div></section>', "One."),
         ('<main><h1>T</h1><section class="sidebar"><article>One.</article></section></main>', "T One."),
