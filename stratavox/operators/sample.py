@@ -145,7 +145,7 @@ class Sampler:
     least: int = 50
     low: float = 0.1
     high: float = 0.9
-    radius: float = 0.1
+    radius: float | None = None
     scale: float = 1.0
 
     def samples(self, triangles: DataFrame, surface: DataFrame) -> DataFrame:

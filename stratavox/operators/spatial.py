@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,14 +41,17 @@ def near_pairs(queries: DataFrame, points: DataFrame, radius: float, chebyshev:
     return pairs.where(F.col("d2") < radius * radius).drop("bx", "by", "bz")
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float, grow: float = 2.0) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | None = None, grow: float = 2.0) -> DataFrame:
     """The ``k`` nearest points of each query, (``qid``, ``pid``, ``d2``, ``rank``); ties go to the smaller ``pid``.
 
-    Queries that don't find ``k`` points within ``radius`` try again with a larger
-    one, until all have them. Equal to brute force: what lies within the radius is
-    nearer than all that does not. Points and queries with a NaN are left out; a
-    radius that isn't positive, or infinite coordinates, are an error.
+    Equal to brute force. Without ``radius`` cells are searched that are as small as
+    the points are dense (:class:`Cells`). With it, queries that don't find ``k``
+    points within it try again with one that is ``grow`` times as large, until all
+    have them. Points and queries with a NaN are left out; a radius that isn't
+    positive, or infinite coordinates, are an error.
     """
+    if radius is None:
+        return _ranked_in_cells(queries, points, k)
     if not radius > 0 or not grow > 1:
         raise ValueError("radius must be positive and grow over 1")
     n_points = points.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).count()
@@ -70,6 +74,107 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float, grow
     return found
 
 
+#: Halvings of cells at most, two a level; points of a cell beyond which it is split; levels of which all cells are broadcast (64^2 at most).
+DEPTH, SPLIT, COARSE = 20, 64, 2
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Points in cells that are cut in four along each axis while they hold more than ``SPLIT`` points.
+
+    ``tables[l - 1]`` holds the cells of level l that hold points: (cell, parent, n, leaf).
+    ``points`` have the level and cell of their leaf. Only the points of cells that
+    are split are counted again at the next level.
+    """
+
+    low: tuple[float, float, float]
+    extent: float
+    tables: list[DataFrame]
+    points: DataFrame
+
+    @classmethod
+    def over(cls, points: DataFrame) -> Cells | None:
+        """The cells of points (pid, x, y, z); None without points."""
+        ends = points.agg(*[f(c).alias(f"{n}{c}") for c in _AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+        if ends.lox is None:
+            return None
+        low = tuple(ends[f"lo{c}"] for c in _AXES)
+        extent = max(ends[f"hi{c}"] - v for c, v in zip(_AXES, low, strict=True))
+        if not math.isfinite(extent):
+            raise ValueError("points or queries have infinite coordinates")
+        extent = extent * (1 + 1e-9) or 1.0
+        last = (1 << DEPTH) - 1
+        places = {f"i{c}": F.least(F.floor((F.col(c) - v) / extent * (1 << DEPTH)), F.lit(last)).cast("long") for c, v in zip(_AXES, low, strict=True)}
+        left, tables, leaves = points.select("pid", *_AXES, *[p.alias(n) for n, p in places.items()]), [], []
+        for level in range(1, DEPTH // 2 + 1):
+            rows = left.withColumns({"cell": cls.cell(level), "parent": cls.cell(level - 1)})
+            counted = rows.groupBy("cell", "parent").agg(F.count("*").alias("n"))
+            table = settle(counted.withColumn("leaf", (F.col("n") <= SPLIT) | F.lit(level == DEPTH // 2)), "cells")
+            tables.append(table)
+            dense = table.where("NOT leaf").select("cell")
+            whole = rows.join(dense, "cell", "left_anti")
+            leaves.append(whole.select("pid", *_AXES, F.lit(level).alias("level"), "cell"))
+            if dense.isEmpty():
+                break
+            left = settle(rows.join(dense, "cell", "left_semi").drop("cell", "parent"), "dense")
+        found = leaves[0]
+        for x in leaves[1:]:
+            found = found.unionByName(x)
+        return cls(low, extent, tables, found)  # type: ignore[arg-type]
+
+    @staticmethod
+    def cell(level: int) -> Column:
+        """The cell of a level from the places of the finest one."""
+        shift = DEPTH - 2 * level
+        x, y, z = (F.shiftright(f"i{c}", shift) for c in _AXES)
+        return F.shiftleft(x, 40).bitwiseOR(F.shiftleft(y, 20)).bitwiseOR(z)
+
+    def reach(self, level: int) -> tuple[Column, Column]:
+        """Bounds of the squared distances from the query (qx, qy, qz) to what a cell of a level holds."""
+        edge = self.extent / (1 << 2 * level)
+        slack = edge * 1e-6 + 1e-14 * (max(map(abs, self.low)) + self.extent)  # more than rounding moves a point
+        near, far = F.lit(0.0), F.lit(0.0)
+        for c, shift, v in zip(_AXES, (40, 20, 0), self.low, strict=True):
+            at = F.shiftright("cell", shift).bitwiseAND((1 << 20) - 1).cast("double") * edge + v
+            below, above = at - slack - F.col(f"q{c}"), F.col(f"q{c}") - (at + edge + slack)
+            gap, most = F.greatest(below, above, F.lit(0.0)), F.greatest(F.abs(below), F.abs(above))
+            near, far = near + gap * gap, far + most * most
+        return near, far
+
+
+def _ranked_in_cells(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """:func:`k_nearest` by a descent of all queries through the cells at once.
+
+    At each level the cells that surely hold ``k`` points, nearest first, bound
+    the distance; farther cells are left. What remains are leaves of few points.
+    """
+    clean = lambda d: d.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z")))
+    left = clean(queries).select("qid", *[F.col(c).alias(f"q{c}") for c in _AXES])
+    if not left.where(" OR ".join(f"abs(q{c}) = double('infinity')" for c in _AXES)).isEmpty():
+        raise ValueError("points or queries have infinite coordinates")
+    cells = Cells.over(clean(points))
+    if cells is None or k < 1:
+        return queries.sparkSession.createDataFrame([], "qid long, pid long, d2 double, rank int")
+    ends, mine = None, Window.partitionBy("qid")
+    sure = mine.orderBy("far", "level", "cell").rowsBetween(Window.unboundedPreceding, 0)
+    frontier = left.withColumn("up", F.lit(0).cast("long"))
+    for level, table in enumerate(cells.tables, 1):
+        table = table.select("cell", F.col("parent").alias("up"), "n", "leaf")
+        near, far = cells.reach(level)
+        met = frontier.join(F.broadcast(table) if level <= COARSE else table, "up").withColumns({"near": near, "far": far, "level": F.lit(level)})
+        rows = met.select("qid", "qx", "qy", "qz", "level", "cell", "n", "leaf", "near", "far")
+        rows = rows if ends is None else rows.unionByName(ends)
+        bound = F.min(F.when(F.col("held") >= k, F.col("far"))).over(mine)
+        rows = rows.withColumn("held", F.sum("n").over(sure)).withColumn("bound", bound).where("bound IS NULL OR near <= bound").drop("held", "bound")
+        rows = settle(rows, "frontier")  # it is read twice below
+        ends = rows.where("leaf")
+        frontier = rows.where("NOT leaf").select("qid", "qx", "qy", "qz", F.col("cell").alias("up"))
+    pairs = ends.select("qid", "qx", "qy", "qz", "level", "cell").join(cells.points, ["level", "cell"])
+    d = sub(vec("x", "y", "z"), vec("qx", "qy", "qz"))
+    rank = F.row_number().over(mine.orderBy("d2", "pid"))
+    return pairs.select("qid", "pid", dot(d, d).alias("d2")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def radius_top(queries: DataFrame, points: DataFrame, radius: float, most: int) -> DataFrame:
     """Up to ``most`` nearest points within ``radius`` of each query, ranked, ties by ``pid``."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))
@@ -109,7 +214,7 @@ def estimate_normals(points: DataFrame, neighbours: int, radius: float, camera:
     return rows.select("pid", F.coalesce("n", F.lit(0)).alias("n"), *made)
 
 
-def vote_sdf(samples: DataFrame, surface: DataFrame, votes: int, sigma: float, radius: float, furthest: float | None = None) -> DataFrame:
+def vote_sdf(samples: DataFrame, surface: DataFrame, votes: int, sigma: float, radius: float | None = None, furthest: float | None = None) -> DataFrame:
     """(``qid``, ``sdf``): a signed distance for each sample (qid, x, y, z) by its nearest surface points (pid, x, y, z, nx, ny, nz).
 
     The size is the distance to the nearest one, along its normal if that is

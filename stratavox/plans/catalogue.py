@@ -187,7 +187,7 @@ _RANKED = f"{_PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER
 @query(f", {_RANKED} SELECT qid, pid, round(d2,9) AS d2, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5", "epts")
 def knn_topk(spark, sf_dir):
     points = views.epts(spark, sf_dir)
-    return spatial.k_nearest(_ids(points, "qid"), _ids(points, "pid"), 5, 0.1).withColumn("d2", F.round("d2", 9))
+    return spatial.k_nearest(_ids(points, "qid"), _ids(points, "pid"), 5).withColumn("d2", F.round("d2", 9))
 
 
 @query(f", {_PAIRS} SELECT qid, count(*) AS n FROM p WHERE d2 < 1e-1*1e-1 GROUP BY 1", "epts")
@@ -224,7 +224,7 @@ def knn_vote_sdf(spark, sf_dir):
     points = views.epts(spark, sf_dir)
     samples = points.select(F.col("vec_id").alias("qid"), (F.col("x") + 0.05).alias("x"), (F.col("y") - 0.03).alias("y"), (F.col("z") + 0.02).alias("z"))
     surface = points.select(F.col("vec_id").alias("pid"), "x", "y", "z", "nx", "ny", "nz")
-    found = spatial.vote_sdf(samples, surface, 11, 0.05, 0.1)
+    found = spatial.vote_sdf(samples, surface, 11, 0.05)
     return found.select("qid", F.when(~F.isnan("sdf"), F.round("sdf", 6) + 0.0).alias("sdf"))
 
 
@@ -435,7 +435,7 @@ def sampler_records(spark, sf_dir):
     triangles = views.tri(spark, sf_dir)
     surface = views.epts(spark, sf_dir).select(F.col("vec_id").alias("pid"), "x", "y", "z", "nx", "ny", "nz")
     wide = grid.Grid((-2.0, -2.0, -2.0), 0.5, (8, 8, 8))
-    sampler = sample.Sampler(wide, 4 * triangles.count(), votes=3, least=3, scale=1.5, radius=0.2)
+    sampler = sample.Sampler(wide, 4 * triangles.count(), votes=3, least=3, scale=1.5)
     found, _ = sampler.records(triangles, surface)
     return found.select("lin_id", "sid", *[(F.round(c, 5) + 0.0).alias(c) for c in ("x", "y", "z", "sdf")])
 
