@@ -1,4 +1,4 @@
-"""Queries of surfaces that are looked at: rasterised faces and their tallies."""
+"""Queries of surfaces: rasterised faces and their tallies, indexed and coloured meshes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from stratavox.operators import raster
 from stratavox.plans import views
 from stratavox.plans.mapping import TURN
 from stratavox.plans.registered import query
+from stratavox.sources import sinks
 
 CAMERA = raster.Camera(0.5, -0.35, 0.4, 32, 24)
 #: Three views, rows first: along z, turned, and along x with the camera's y against the z axis.
@@ -64,3 +65,43 @@ _SIDE = "CASE WHEN abs(nx) >= 1e-6 THEN sign(nx) WHEN abs(ny) >= 1e-6 THEN sign(
 def seen_face_tallies(spark, sf_dir):
     """How often each face is seen in three views, and from which side."""
     return raster.face_tallies(raster.seen_points(*_seen(spark, sf_dir), CAMERA))
+
+
+#: Triangles whose corners are moved onto eighths, so that many share a place; the deviation is a sum that is exact there.
+_AT = {c: {n: f"floor({p}*8e0)/8e0" for n, p in zip("xyz", names, strict=True)} for c, names in _CORNERS.items()}
+_STD = "abs({x})+2e0*abs({y})+4e0*abs({z})"
+_CELL = "(CAST(floor({x}*4e0) AS BIGINT)+4)*64+(CAST(floor({y}*4e0) AS BIGINT)+4)*8+CAST(floor({z}*4e0) AS BIGINT)+4"
+_SOUP = (
+    ", k0 AS ("
+    + " UNION ALL ".join(f"SELECT tri_id AS tri, {k} AS corner, {', '.join(f'{p}+0e0 AS {n}' for n, p in at.items())} FROM tri" for k, at in enumerate(_AT.values()))
+    + f"), k1 AS (SELECT x, y, z, avg({_STD.format(x='x', y='y', z='z')}) AS std, row_number() OVER (ORDER BY {_CELL.format(x='x', y='y', z='z')}, x, y, z)-1 AS vid FROM k0 GROUP BY x, y, z)"
+)
+_JET = {
+    "r": "CASE WHEN t <= 35e-2 THEN 0 WHEN t <= 66e-2 THEN (t-35e-2)/31e-2 WHEN t <= 89e-2 THEN 1 ELSE 1-(t-89e-2)/11e-2/2 END",
+    "g": "CASE WHEN t <= 125e-3 THEN 0 WHEN t <= 375e-3 THEN (t-125e-3)/25e-2 WHEN t <= 64e-2 THEN 1 WHEN t <= 91e-2 THEN 1-(t-64e-2)/27e-2 ELSE 0 END",
+    "b": "CASE WHEN t <= 11e-2 THEN 5e-1+t/11e-2/2 WHEN t <= 34e-2 THEN 1 WHEN t <= 65e-2 THEN 1-(t-34e-2)/31e-2 ELSE 0 END",
+}
+
+
+def _indexed(spark, sf_dir):
+    corner = lambda at: f"struct({at['x']} AS x, {at['y']} AS y, {at['z']} AS z, {_STD.format(**at)} AS std)"
+    soup = views.tri(spark, sf_dir).select(F.col("tri_id").alias("tri"), F.expr(f"array({', '.join(corner(at) for at in _AT.values())})").alias("v"))
+    return sinks.indexed_mesh(soup, F.expr(_CELL.format(x="x", y="y", z="z")))
+
+
+@query(
+    f"""{_SOUP}, k2 AS (SELECT *, least(floor((std-min(std) OVER ())/(max(std) OVER ()-min(std) OVER ())*256), 255)/255e0 AS t FROM k1)
+SELECT vid, x+0e0 AS x, y+0e0 AS y, z+0e0 AS z, std, {', '.join(f'round({e},6)+0e0 AS {n}' for n, e in _JET.items())} FROM k2""",
+    "epts",
+    "tri",
+)
+def indexed_vertices(spark, sf_dir):
+    """The vertices of an indexed mesh: dense ids, deviations and their colours."""
+    vertices, _ = _indexed(spark, sf_dir)
+    return vertices.select("vid", *[(F.col(c) + 0.0).alias(c) for c in "xyz"], "std", *[(F.round(c, 6) + 0.0).alias(c) for c in "rgb"])
+
+
+@query(f"{_SOUP} SELECT tri, {', '.join(f'max(CASE WHEN corner={k} THEN vid END) AS {n}' for k, n in enumerate('abc'))} FROM k0 JOIN k1 USING (x, y, z) GROUP BY tri", "epts", "tri")
+def indexed_faces(spark, sf_dir):
+    """The faces of an indexed mesh, as ids of their vertices."""
+    return _indexed(spark, sf_dir)[1]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.operators.scan import numbered
+from stratavox.functions.colour import jet
+from stratavox.operators.scan import numbered, placed
+from stratavox.sources.shared import settle
 
 
 def dense_ids(df: DataFrame, order: str, out: str) -> DataFrame:
@@ -30,13 +32,33 @@ def save_map(voxels: DataFrame, path: str) -> None:
     voxels.write.mode("overwrite").parquet(path)
 
 
-def indexed_mesh(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (vid, x, y, z, std) and faces (tri, a, b, c) of a triangle soup (tri, v): equal places become one vertex."""
-    rows = triangles.select("tri", F.posexplode("v").alias("corner", "p")).select("tri", "corner", "p.*")
-    key = F.xxhash64("x", "y", "z")
-    vertices = rows.groupBy("x", "y", "z").agg(F.avg("std").alias("std")).withColumn("vid", key)
-    faces = rows.withColumn("vid", key).groupBy("tri").agg(*[F.max(F.when(F.col("corner") == k, F.col("vid"))).alias(n) for k, n in enumerate("abc")])
-    return vertices, faces
+def indexed_mesh(triangles: DataFrame, block: Column | None = None, limits: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices (vid, x, y, z, std, r, g, b) and faces (tri, a, b, c) of a triangle soup (tri, v): equal places become one vertex.
+
+    Vertex ids are dense from 0, by an integer ``block`` of x, y, z (4,096 of
+    hashes unless given, such as a grid's cells) and within it by x, y, z. A
+    vertex takes the mean ``std`` of its corners; its colour shows it between
+    ``limits``, or between the least and the largest of the mesh. Triangles with a
+    null coordinate are dropped.
+    """
+    whole = F.forall("v", lambda p: p["x"].isNotNull() & p["y"].isNotNull() & p["z"].isNotNull())
+    rows = triangles.where(whole).select("tri", F.posexplode("v").alias("corner", "p")).select("tri", "corner", "p.*")
+    spots = settle(rows.groupBy("x", "y", "z").agg(F.avg("std").alias("std")), "spots")
+    cell = F.pmod(F.xxhash64("x", "y", "z"), F.lit(4096)) if block is None else block
+    vertices = settle(placed(spots, cell, ["x", "y", "z"], "vid"), "vertices")
+    corners = rows.join(vertices.select("x", "y", "z", "vid"), ["x", "y", "z"])
+    faces = corners.groupBy("tri").agg(*[F.max(F.when(F.col("corner") == k, F.col("vid"))).alias(n) for k, n in enumerate("abc")])
+    return coloured(vertices, "std", limits), faces
+
+
+def coloured(df: DataFrame, column: str, limits: tuple[float, float] | None = None) -> DataFrame:
+    """Rows with r, g, b of ``column``, clipped to ``limits`` or from its least to its largest value; equal limits or values give the lowest colour."""
+    if limits is None:
+        rows = min_max(df, column, "_share")
+    else:
+        low, high = limits
+        rows = df.withColumn("_share", F.greatest(F.least((F.col(column) - low) / (high - low), F.lit(1.0)), F.lit(0.0)) if high > low else F.lit(0.0))
+    return rows.withColumns(jet(F.col("_share"))).drop("_share")
 
 
 def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
