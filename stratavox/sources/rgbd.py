@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from stratavox.functions.pose import from_quaternion, inverse
 
+#: Meshes of a manifest that are broadcast, to prune folders by; four bytes each.
+FEW_MESHES = 1_000_000
+
 
 def frame_files(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
     """(frame_id, stem, rgb, depth): the files of ``rgb/`` in the numeric order of their names, each with ``depth/`` of its place."""
@@ -144,6 +147,20 @@ def read_config(text: str) -> dict:
     return merged
 
 
-def voxel_records(spark: SparkSession, path: str) -> DataFrame:
-    """The voxel records that :func:`stratavox.sources.sinks.write_voxels` wrote."""
-    return spark.read.parquet(f"{path}/payload")
+def voxel_records(spark: SparkSession, path: str, listed: Column | None = None) -> DataFrame:
+    """The voxel records that :func:`stratavox.sources.sinks.write_voxels` wrote, or those that rows ``listed`` of the manifest name.
+
+    ``listed`` is a condition on the manifest's (source, mesh_idx, lif_idx). The
+    meshes it leaves prune the payload's folders when the query runs, so files of
+    other meshes aren't opened; a row listed twice gives its record once. Records
+    that the manifest doesn't name are left out.
+    """
+    payload = spark.read.parquet(f"{path}/payload")
+    if listed is None:
+        return payload
+    names = ["source", "mesh_idx", "lif_idx"]
+    found = spark.read.schema(payload.select(*names).schema).json(f"{path}/manifest").where(listed)
+    meshes = found.where("mesh_idx >= 0").select("mesh_idx").distinct()
+    few = meshes.limit(FEW_MESHES + 1).count() <= FEW_MESHES
+    some = payload.join(F.broadcast(meshes) if few else meshes, "mesh_idx", "left_semi")  # pruned where they are broadcast
+    return some.join(found, names, "left_semi")
