@@ -12,7 +12,7 @@ from stratavox.functions import geometry as geo
 from stratavox.functions import mlp
 from stratavox.functions.pose import inverse, se3_exp, se3_log
 from stratavox.operators import grid, image, mesh, reduce, sample, scan, spatial, track
-from stratavox.plans import mapping, networks, online, paths, stored, surfaces, views  # noqa: F401 (register their queries)
+from stratavox.plans import frames, mapping, networks, online, paths, stored, surfaces, views  # noqa: F401 (register their queries)
 from stratavox.plans.registered import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 from stratavox.sources import rgbd, sinks
 from stratavox.sources.tables import read_table, workers_find_package
