@@ -110,6 +110,14 @@ def from_rotation(m: Matrix, t: Vec) -> Pose:
     return Pose((pick(0), pick(1), pick(2)), pick(3), t)
 
 
+def orthonormal(a: Vec, b: Vec) -> Matrix:
+    """The rotation whose first two columns are ``a`` and ``b`` made orthonormal, the third their cross product; NaN where they have no direction."""
+    x = normalised(a)
+    y = normalised(sub(b, _times(dot(x, b), x)))
+    columns = [x, y, cross(x, y)]
+    return [[c[r] for c in columns] for r in range(3)]
+
+
 def look_at(source: Vec, target: Vec, up: Vec) -> Pose:
     """The pose at ``source`` whose z axis points at ``target``, its y axis away from ``up``."""
     z = normalised(sub(target, source))

@@ -65,3 +65,9 @@ def ordered_ema(df: DataFrame, key: str, order: str, value: str, alpha: float) -
     last = rows.groupBy(key).agg(F.max("place").alias("last"))
     weight = F.pow(F.lit(alpha), (F.col("last") - F.col("place")).cast("double")) * F.when(F.col("place") == 1, 1.0).otherwise(1 - alpha)
     return rows.join(last, key).groupBy(key).agg(F.sum(weight * F.col(value)).alias("ema"), F.count("*").alias("n"))
+
+
+def overall(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row (names, mean, total): how many keys have values, and the mean and the sum of their means; null and NaN are no values."""
+    means = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(key).agg(F.avg(value).alias("_mean"))
+    return means.agg(F.count("*").alias("names"), F.avg("_mean").alias("mean"), F.sum("_mean").alias("total"))

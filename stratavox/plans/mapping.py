@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.functions import geometry as geo
-from stratavox.operators import grid, image, mesh, sample, volume
+from stratavox.operators import grid, image, mesh, reduce, sample, volume
 from stratavox.plans import views
 from stratavox.plans.registered import query, r6
 
@@ -225,6 +225,6 @@ def bbox_expanded(spark, sf_dir):
 
 @query("SELECT count(*) AS names, round(avg(m),6) AS mean_of_means, round(sum(m),6) AS sum_of_means FROM (SELECT avg(value) AS m FROM frames WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type)", "frames")
 def meter_overall(spark, sf_dir):
-    rows = views.frames(spark, sf_dir).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    means = rows.groupBy("event_type").agg(F.avg("value").alias("m"))
-    return means.agg(F.count("*").alias("names"), F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.sum("m"), 6).alias("sum_of_means"))
+    """The meters' mean: the mean and the sum of all names' means."""
+    found = reduce.overall(views.frames(spark, sf_dir), "event_type", "value")
+    return found.select("names", r6("mean_of_means", F.col("mean")), r6("sum_of_means", F.col("total")))

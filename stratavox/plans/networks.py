@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratavox.functions import augment, heads, mlp
+from stratavox.functions import augment, heads, mlp, motion
 from stratavox.functions import geometry as geo
 from stratavox.operators import grid, latent, reduce, scan
 from stratavox.plans import views
@@ -163,11 +163,8 @@ SELECT vec_id, round(a0,6)+0e0 AS r00, round(a1,6)+0e0 AS r10, round(a2,6)+0e0 A
 )
 def continuous_rotation(spark, sf_dir):
     """Rotations from six numbers: the two columns made orthonormal, and their cross product."""
-    a = geo.normalised(geo.vec("x", "y", "z"))
-    raw = geo.vec("nx", "ny", "nz")
-    b = geo.normalised(geo.sub(raw, tuple(geo.dot(a, raw) * x for x in a)))
-    columns = [a, b, geo.cross(a, b)]
-    return views.epts(spark, sf_dir).select("vec_id", *[(F.round(x, 6) + 0.0).alias(f"r{i}{j}") for j, c in enumerate(columns) for i, x in enumerate(c)])
+    rotation = motion.orthonormal(geo.vec("x", "y", "z"), geo.vec("nx", "ny", "nz"))
+    return views.epts(spark, sf_dir).select("vec_id", *[(F.round(x, 6) + 0.0).alias(f"r{i}{j}") for i, row in enumerate(rotation) for j, x in enumerate(row)])
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratavox.functions import colour, motion, pose
 from stratavox.functions.geometry import vec
-from stratavox.operators import scan
+from stratavox.operators import reduce, scan
 from stratavox.sources import sinks
 
 STRUCT = "struct<qx:double,qy:double,qz:double,qw:double,tx:double,ty:double,tz:double>"
@@ -52,8 +52,9 @@ def test_looking_and_jacobians_equal_numpy(spark):
     a, b = vec("ax", "ay", "az"), vec("bx", "by", "bz")
     up = (F.lit(0.0), F.lit(0.0), F.lit(1.0))
     flat = lambda m: F.array(*[c for r in m for c in r])
-    for r in df.select("*", motion.look_at(a, b, up).struct().alias("p"), flat(motion.left_jacobian(a)).alias("j"), flat(motion.inverse_left_jacobian(a)).alias("i")).collect():
+    for r in df.select("*", flat(motion.orthonormal(a, b)).alias("o"), motion.look_at(a, b, up).struct().alias("p"), flat(motion.left_jacobian(a)).alias("j"), flat(motion.inverse_left_jacobian(a)).alias("i")).collect():
         x, y = np.array(r[:3]), np.array(r[3:6])
+        assert np.allclose(np.reshape(r.o, (3, 3)), pose.from_continuous([*x, *y, 0, 0, 0])[:3, :3])
         assert np.allclose(matrix(r.p), pose.look_at(x, y, np.array([0.0, 0.0, 1.0])))
         assert np.allclose(np.reshape(r.j, (3, 3)), pose.left_jacobian(x), atol=1e-7)
         assert np.allclose(np.reshape(r.i, (3, 3)) @ pose.left_jacobian(x), np.eye(3), atol=1e-6)
@@ -99,3 +100,9 @@ def test_colours(spark):
     clipped = {r.k: r.r for r in sinks.coloured(rows, "v", (0.0, 0.5)).select("k", "r").collect()}
     assert clipped[2] == clipped[4] == clipped[1] == 0.5 and clipped[3] == 0.0
     assert {(r.r, r.b) for r in sinks.coloured(rows.where("k < 2"), "v", (1.0, 1.0)).collect()} == {(0.0, 0.5)}
+
+
+def test_meters_over_all_names(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 7.0), ("b", None), ("c", float("nan"))], "name string, value double")
+    assert reduce.overall(rows, "name", "value").first()[:] == (2, 4.5, 9.0)
+    assert reduce.overall(rows.limit(0), "name", "value").first()[:] == (0, None, None)
