@@ -104,10 +104,31 @@ def self_cell(points: DataFrame, grid: Grid, axis: int, offset: float) -> Column
 
 
 def downsample(points: DataFrame, size: float, also: tuple[str, ...] = ()) -> DataFrame:
-    """Means of the points (and of the columns ``also``) for each cell [lo, hi) from half a cell below the minimum."""
-    low = points.agg(*[F.min(c).alias(f"min_{c}") for c in "xyz"])
-    cells = points.crossJoin(F.broadcast(low)).withColumns({f"b{c}": box_cell(F.col(c), F.col(f"min_{c}"), size) for c in "xyz"})
-    return cells.groupBy("bx", "by", "bz").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in ("x", "y", "z", *also)])
+    """Means of the points (and of the columns ``also``) for each cell [lo, hi) from half a cell below the minimum.
+
+    Means don't depend on the order or partitions of the rows: see :func:`_mean`.
+    """
+    names = ("x", "y", "z", *also)
+    bounds = points.agg(*[F.min(c).alias(f"min_{c}") for c in "xyz"], *[_steps(F.col(c).cast("double")).alias(f"steps_{c}") for c in names])
+    cells = points.crossJoin(F.broadcast(bounds)).withColumns({f"b{c}": box_cell(F.col(c), F.col(f"min_{c}"), size) for c in "xyz"})
+    return cells.groupBy("bx", "by", "bz").agg(F.count("*").alias("n"), *[_mean(F.col(c).cast("double"), F.col(f"steps_{c}")).alias(f"m{c}") for c in names])
+
+
+def _steps(c: Column) -> Column:
+    """Aggregate: the power of two that takes the largest finite magnitude of ``c`` to between 2^25 and 2^26."""
+    most = F.max(F.when(F.abs(c) < float("inf"), F.abs(c)))
+    return F.pow(F.lit(2.0), F.least(26 - F.ceil(F.log2(F.when(most > 0, most))), F.lit(1000)))
+
+
+def _mean(c: Column, steps: Column) -> Column:
+    """Aggregate: the mean of ``c`` by its exact sum, rounded; the last bits of ``avg`` depend on the order of rows.
+
+    Whole steps sum without rounding (up to 2^27 rows a group). What is left of each value is 2^26 times smaller
+    than the largest one, and so is the rounding of its sum.
+    """
+    coarse = F.coalesce(F.rint(c * steps) / steps, c)  # all zero or not finite: no steps
+    fine = F.when(F.abs(c) < float("inf"), c - coarse).otherwise(0.0)
+    return (F.sum(coarse) + F.sum(fine)) / F.count(c)
 
 
 def lookup(points: DataFrame, grid: Grid, voxels: DataFrame, more_than: int) -> DataFrame:

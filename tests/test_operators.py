@@ -56,6 +56,27 @@ def test_downsample_of_an_empty_cloud(spark):
     assert grid.downsample(spark.createDataFrame([], "x double, y double, z double"), 0.5).count() == 0
 
 
+def test_downsampled_means_are_those_of_exact_sums_in_any_order(spark):
+    rnd = random.Random(3)
+    tenths = [k / 10 for k in range(1, 50)] * 13 + [4.6, 4.7, 0.3]  # 640 rows
+    rows = [(x, 0.1, 3.0 * rnd.random() - 1.5, 1e9 * (rnd.random() - 0.5)) for x in tenths]
+    wanted = [math.fsum(r[i] for r in rows) / len(rows) for i in range(4)]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        cloud = spark.createDataFrame(rows, "x double, y double, z double, w double").repartition(1 + seed)
+        (found,) = grid.downsample(cloud, 100.0, ("w",)).collect()
+        assert (found.n, [found.mx, found.my, found.mz, found.mw]) == (640, wanted)
+
+
+def test_downsampled_means_without_finite_values(spark):
+    inf = float("inf")
+    rows = [(0.0, 0.0, 1.0, None, 0.0, NAN, inf, inf, 1.0), (0.0, 0.0, 3.0, None, 0.0, 1.0, 1.0, -inf, None), (0.0, 0.0, 5.0, None, 0.0, 1.0, 2.0, 1.0, 2.5)]
+    cloud = spark.createDataFrame(rows, "x double, y double, z double, a double, b double, c double, d double, e double, f double")
+    (found,) = grid.downsample(cloud, 100.0, tuple("abcdef")).collect()
+    assert (found.mx, found.mz, found.ma, found.mb, found.md, found.mf) == (0.0, 3.0, None, 0.0, inf, 1.75)
+    assert math.isnan(found.mc) and math.isnan(found.me)
+
+
 def brute_nearest(queries, points, k):
     out = set()
     for q, *a in queries:
