@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from stratavox.llm.words import ALNUM_WORDS, pieces, returning, word_hashes, word_spans
 
-#: Bytes of text of one shard; every how manieth position is sampled; symbols of one stretch at most (longer ones overlap).
-SHARD = 2 << 20
+#: Bytes of text of one shard (a task needs about 60 bytes for each); every how manieth position is sampled; symbols of one stretch at most (longer ones overlap).
+SHARD = 1 << 19
 SAMPLE = 8
 STRETCH = 64
 #: Bytes of benchmark text whose phrases are broadcast together; a larger benchmark is searched for in several blocks.

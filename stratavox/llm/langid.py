@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", grams_each:
                     yield pa.record_batch([pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(returning(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     most = F.max("share").over(Window.partitionBy("gram"))
     own = counted.withColumn("share", share).withColumn("most", most).where(F.col("share") >= SHARE * F.col("most"))

@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of a piece, and rows that are looked at together at most.
-PIECE, ROWS = 1 << 20, 1024
+#: Bytes of a piece, and rows that are looked at together at most; bytes up to which a worker keeps its tables of powers (16 bytes for each).
+PIECE, ROWS = 1 << 18, 1024
+KEPT = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -49,6 +50,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             row[0] = 1
             with np.errstate(over="ignore"):
                 made.append(np.multiply.accumulate(row))
+        if size > KEPT:  # for one long text only: workers live on
+            return made[0], made[1]
         _powers = made[0], made[1]
     return _powers
 
