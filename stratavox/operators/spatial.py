@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavox.functions.geometry import dot, sub, vec, with_smallest_eigenvector
+from stratavox.operators.scan import placed
 from stratavox.sources.shared import settle
 
 _AXES = "xyz"
@@ -44,14 +48,14 @@ def near_pairs(queries: DataFrame, points: DataFrame, radius: float, chebyshev:
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | None = None, grow: float = 2.0) -> DataFrame:
     """The ``k`` nearest points of each query, (``qid``, ``pid``, ``d2``, ``rank``); ties go to the smaller ``pid``.
 
-    Equal to brute force. Without ``radius`` cells are searched that are as small as
-    the points are dense (:class:`Cells`). With it, queries that don't find ``k``
+    Equal to brute force. Without ``radius`` leaves are searched that are as small as
+    the points are dense (:class:`Packed`). With it, queries that don't find ``k``
     points within it try again with one that is ``grow`` times as large, until all
     have them. Points and queries with a NaN are left out; a radius that isn't
     positive, or infinite coordinates, are an error.
     """
     if radius is None:
-        return _ranked_in_cells(queries, points, k)
+        return _ranked_in_blocks(queries, points, k).select("qid", "pid", "d2", "rank")
     if not radius > 0 or not grow > 1:
         raise ValueError("radius must be positive and grow over 1")
     n_points = points.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).count()
@@ -74,111 +78,222 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | Non
     return found
 
 
-#: Halvings of cells at most, two a level; points of a cell beyond which it is split; levels of which all cells are broadcast (64^2 at most).
-DEPTH, SPLIT, COARSE = 20, 64, 2
+#: Points of a leaf and queries of a block; distances that a task holds at once; ranges of an axis that are sorted each by itself.
+SPLIT, HELD, RANGES = 512, 1 << 18, 128
+
+_LEVELS = ("slab", "strip", "leaf")
 
 
 @dataclass(frozen=True)
-class Cells:
-    """Points in cells that are cut in four along each axis while they hold more than ``SPLIT`` points.
+class Packed:
+    """Rows (id, x, y, z) dealt by place into leaves of like size: slabs of the widest axis, strips of a slab, leaves of a strip.
 
-    ``tables[l - 1]`` holds the cells of level l that hold points: (cell, parent, n, leaf).
-    ``points`` have the level and cell of their leaf. Only the points of cells that
-    are split are counted again at the next level.
+    ``rows`` have their ``slab``, ``strip`` and ``leaf``. Places break ties by the other axes and the id, so no leaf grows with copies or planes.
     """
 
-    low: tuple[float, float, float]
-    extent: float
-    tables: list[DataFrame]
-    points: DataFrame
+    rows: DataFrame
+    leaves: DataFrame
 
     @classmethod
-    def over(cls, points: DataFrame) -> Cells | None:
-        """The cells of points (pid, x, y, z); None without points."""
-        ends = points.agg(*[f(c).alias(f"{n}{c}") for c in _AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-        if ends.lox is None:
+    def of(cls, rows: DataFrame, size: int, name: str) -> Packed | None:
+        """At least ``size`` rows to a leaf, if there are as many; None without rows."""
+        shares = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+        ends = rows.agg(F.count("*").alias("n"), *[F.max(F.abs(c)).alias(f"far{c}") for c in _AXES], *[F.expr(f"percentile_approx({c}, array({shares}), 2000)").alias(c) for c in _AXES]).first()
+        n = ends.n
+        if not n:
             return None
-        low = tuple(ends[f"lo{c}"] for c in _AXES)
-        extent = max(ends[f"hi{c}"] - v for c, v in zip(_AXES, low, strict=True))
-        if not math.isfinite(extent):
+        if any(math.isinf(ends[f"far{c}"]) for c in _AXES):
             raise ValueError("points or queries have infinite coordinates")
-        extent = extent * (1 + 1e-9) or 1.0
-        last = (1 << DEPTH) - 1
-        places = {f"i{c}": F.least(F.floor((F.col(c) - v) / extent * (1 << DEPTH)), F.lit(last)).cast("long") for c, v in zip(_AXES, low, strict=True)}
-        left, tables, leaves = points.select("pid", *_AXES, *[p.alias(n) for n, p in places.items()]), [], []
-        for level in range(1, DEPTH // 2 + 1):
-            rows = left.withColumns({"cell": cls.cell(level), "parent": cls.cell(level - 1)})
-            counted = rows.groupBy("cell", "parent").agg(F.count("*").alias("n"))
-            table = settle(counted.withColumn("leaf", (F.col("n") <= SPLIT) | F.lit(level == DEPTH // 2)), "cells")
-            tables.append(table)
-            dense = table.where("NOT leaf").select("cell")
-            whole = rows.join(dense, "cell", "left_anti")
-            leaves.append(whole.select("pid", *_AXES, F.lit(level).alias("level"), "cell"))
-            if dense.isEmpty():
-                break
-            left = settle(rows.join(dense, "cell", "left_semi").drop("cell", "parent"), "dense")
-        found = leaves[0]
-        for x in leaves[1:]:
-            found = found.unionByName(x)
-        return cls(low, extent, tables, found)  # type: ignore[arg-type]
+        wide = {c: ends[c][-RANGES // 20] - ends[c][RANGES // 20] for c in _AXES}
+        first, second, third = sorted(_AXES, key=lambda c: -wide[c])
+        # As many cuts along each axis as make leaves cubes, the narrowest axis first; rounded down, so no leaf gets too few.
+        left, cuts = max(1, n // size), {}
+        for k, c in enumerate((third, second, first)):
+            others = math.prod(wide[c] / wide[o] if wide[o] else 0.0 for o in (third, second, first)[k:])
+            cuts[c] = max(1, min(left, int((left * others) ** (1 / (3 - k)) + 1e-9))) if c != first else left
+            left //= cuts[c]
+        ticks = [-math.inf, *sorted(set(ends[first])), math.inf]
+        each = ", ".join(f"({i}L, double('{a!r}'), double('{b!r}'))" for i, (a, b) in enumerate(zip(ticks, ticks[1:], strict=False)))
+        ranges = rows.sparkSession.sql(f"SELECT * FROM VALUES {each} AS ranges(range, low, high)")
+        met = rows.join(F.broadcast(ranges), (F.col(first) >= F.col("low")) & (F.col(first) < F.col("high"))).drop("low", "high")
+        dealt = placed(met, F.col("range"), [first, second, third, "id"]).drop("range").withColumn("n", F.lit(n).cast("long"))
+        dealt = cls._deal(dealt, "slab", F.lit(0).cast("long"), cuts[first])
+        inside = lambda node, *order: F.row_number().over(Window.partitionBy(node).orderBy(*order, "id")) - 1
+        dealt = cls._deal(dealt.withColumn("place", inside("slab", second, third, first)), "strip", F.col("slab"), cuts[second])
+        dealt = cls._deal(dealt.withColumn("place", inside("strip", third, first, second)), "leaf", F.col("strip"), cuts[third])
+        found = settle(dealt.select(*_LEVELS, "id", *_AXES), name)
+        return cls(found, settle(found.groupBy(*_LEVELS).agg(*_box(*_AXES)), "leaves"))
 
     @staticmethod
-    def cell(level: int) -> Column:
-        """The cell of a level from the places of the finest one."""
-        shift = DEPTH - 2 * level
-        x, y, z = (F.shiftright(f"i{c}", shift) for c in _AXES)
-        return F.shiftleft(x, 40).bitwiseOR(F.shiftleft(y, 20)).bitwiseOR(z)
-
-    def reach(self, level: int) -> tuple[Column, Column]:
-        """Bounds of the squared distances from the query (qx, qy, qz) to what a cell of a level holds."""
-        edge = self.extent / (1 << 2 * level)
-        slack = edge * 1e-6 + 1e-14 * (max(map(abs, self.low)) + self.extent)  # more than rounding moves a point
-        near, far = F.lit(0.0), F.lit(0.0)
-        for c, shift, v in zip(_AXES, (40, 20, 0), self.low, strict=True):
-            at = F.shiftright("cell", shift).bitwiseAND((1 << 20) - 1).cast("double") * edge + v
-            below, above = at - slack - F.col(f"q{c}"), F.col(f"q{c}") - (at + edge + slack)
-            gap, most = F.greatest(below, above, F.lit(0.0)), F.greatest(F.abs(below), F.abs(above))
-            near, far = near + gap * gap, far + most * most
-        return near, far
-
-
-def _ranked_in_cells(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """:func:`k_nearest` by a descent of all queries through the cells at once.
-
-    At each level the cells that surely hold ``k`` points, nearest first, bound
-    the distance; farther cells are left. What remains are leaves of few points.
+    def _deal(rows: DataFrame, node: str, up: Column, parts: int) -> DataFrame:
+        """Places of ``n`` rows dealt to as many as ``parts`` nodes below ``up``; ``n`` becomes that of the node."""
+        part = F.expr(f"place * {parts} div n")
+        start = lambda k: f"({k} * n + {parts - 1}) div {parts}"
+        sized = rows.withColumn("part", part).withColumn("n", F.expr(f"{start('(part + 1)')} - {start('part')}"))
+        return sized.withColumn(node, up * parts + F.col("part")).drop("part")
+
+    def nodes(self, level: str) -> DataFrame:
+        """(the level above, level, lox, hix, ..): the box of each node."""
+        k = _LEVELS.index(level)
+        names = _LEVELS[max(0, k - 1) : k + 1]
+        return self.leaves.groupBy(*names).agg(*[f(f"{e}{c}").alias(f"{e}{c}") for c in _AXES for f, e in ((F.min, "lo"), (F.max, "hi"))])
+
+    def below(self, blocks: DataFrame, level: str) -> DataFrame:
+        """Blocks with each node of ``level`` below the node that they have, and ``apart``, the squared distance between the two boxes."""
+        nodes = self.nodes(level)
+        met = blocks.crossJoin(F.broadcast(nodes)) if level == _LEVELS[0] else blocks.join(nodes, _LEVELS[_LEVELS.index(level) - 1])
+        return met.withColumn("apart", _apart("lo{}", "hi{}"))
+
+    def homes(self, blocks: DataFrame) -> DataFrame:
+        """(block, leaf): for each block (block, qlox, qhix, ..) a leaf by its centre."""
+        names = [f"q{e}{c}" for c in _AXES for e in ("lo", "hi")]
+        at = blocks.select("block", *[((F.col(f"qlo{n[-1]}") + F.col(f"qhi{n[-1]}")) / 2).alias(n) for n in names])
+        for level in _LEVELS:
+            at = self.below(at, level).groupBy("block", *names).agg(F.min_by(level, F.struct("apart", level)).alias(level))
+        return at.select("block", "leaf")
+
+    def within(self, blocks: DataFrame) -> DataFrame:
+        """(block, id, x, y, z): the points whose squared distance from a block's box (block, qlox, qhix, .., r2) is at most ``r2``."""
+        for level in _LEVELS:
+            blocks = self.below(blocks, level).where("apart <= r2").select("block", "r2", *[f"q{e}{c}" for c in _AXES for e in ("lo", "hi")], level)
+        return self.rows.select("leaf", "id", *_AXES).join(blocks, "leaf").where(_apart("{}", "{}") <= F.col("r2")).select("block", "id", *_AXES)
+
+
+def _box(*names: str, to: str = "") -> list[Column]:
+    return [f(c).alias(f"{to}{e}{c}") for c in names for f, e in ((F.min, "lo"), (F.max, "hi"))]
+
+
+def _apart(low: str, high: str) -> Column:
+    """The squared distance of a box or point from the box (qlox, qhix, ..); rounded as distances of points are, so never above one of theirs."""
+    found = F.lit(0.0)
+    for c in _AXES:
+        gap = F.greatest(F.col(low.format(c)) - F.col(f"qhi{c}"), F.col(f"qlo{c}") - F.col(high.format(c)), F.lit(0.0))
+        found = found + gap * gap
+    return found
+
+
+class _Best:
+    """The ``k`` nearest points so far of the queries of a block."""
+
+    def __init__(self, k: int, ids: np.ndarray, at: np.ndarray, limit: np.ndarray):
+        self.k, self.ids, self.at, self.limit = k, ids, at, limit.copy()
+        self.row, self.d2, self.pid, self.points = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty((0, 3))
+
+    def meet(self, pids: np.ndarray, points: np.ndarray) -> None:
+        step = max(1, HELD * 4 // len(self.ids))
+        for i in range(0, len(pids), step):
+            self._meet(pids[i : i + step], points[i : i + step])
+
+    def _meet(self, pids: np.ndarray, points: np.ndarray) -> None:
+        d2 = 0.0
+        for c in range(3):
+            d = points[None, :, c] - self.at[:, c, None]
+            d2 = d2 + d * d
+        near = d2 <= self.limit[:, None]
+        if len(pids) >= self.k and np.count_nonzero(near) > 4 * self.k * len(self.ids):
+            self.limit = np.minimum(self.limit, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1])
+            near = d2 <= self.limit[:, None]
+        row, col = np.nonzero(near)
+        row, d2, pid, points = (np.concatenate(x) for x in ((self.row, row), (self.d2, d2[row, col]), (self.pid, pids[col]), (self.points, points[col])))
+        order = np.lexsort((pid, d2, row))
+        order = order[self.ranks(row[order]) <= self.k]
+        self.row, self.d2, self.pid, self.points = row[order], d2[order], pid[order], points[order]
+        last = self.ranks(self.row) == self.k
+        self.limit[self.row[last]] = self.d2[last]
+
+    @staticmethod
+    def ranks(row: np.ndarray) -> np.ndarray:
+        """Places 1, 2, .. within runs of equal rows."""
+        return np.arange(len(row)) - np.searchsorted(row, row) + 1
+
+
+def _streamed(k: int, blocks: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Best]]:
+    """Each block of rows (block, asked, id, x, y, z, r2), its queries before its points, with what it found: only a block's queries and results are held."""
+    now, queries, best = None, [], None
+
+    def begun() -> _Best:
+        ids, at, limit = (np.concatenate(x) for x in zip(*queries, strict=True))
+        return _Best(k, ids, at, limit)
+
+    for batch in blocks:
+        block, asked, ids, x, y, z, r2 = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "asked", "id", *_AXES, "r2"))
+        at = np.stack((x, y, z), axis=1)
+        ends = np.flatnonzero((np.diff(block) != 0) | (np.diff(asked) != 0)) + 1
+        for i, j in zip((0, *ends), (*ends, len(block)), strict=True):
+            if i == j:
+                continue
+            if block[i] != now:
+                if queries:
+                    yield now, best or begun()
+                now, queries, best = block[i], [], None
+            if asked[i] == 0:
+                queries.append((ids[i:j], at[i:j], r2[i:j]))
+            elif queries:
+                best = best or begun()
+                best.meet(ids[i:j], at[i:j])
+    if queries:
+        yield now, best or begun()
+
+
+def _bounds(k: int):
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, b in _streamed(k, blocks):
+            yield pa.RecordBatch.from_pydict({"block": np.full(len(b.ids), block), "id": b.ids, **dict(zip(_AXES, b.at.T, strict=True)), "r2": b.limit})
+
+    return run
+
+
+def _found(k: int):
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, b in _streamed(k, blocks):
+            at = {f"q{c}": v[b.row] for c, v in zip(_AXES, b.at.T, strict=True)}
+            yield pa.RecordBatch.from_pydict({"qid": b.ids[b.row], **at, "pid": b.pid, **dict(zip(_AXES, b.points.T, strict=True)), "d2": b.d2, "rank": b.ranks(b.row).astype(np.int32)})
+
+    return run
+
+
+_FOUND = "qid long, qx double, qy double, qz double, pid long, x double, y double, z double, d2 double, rank int"
+
+
+def _ranked_in_blocks(queries: DataFrame, points: DataFrame, k: int, radius: float = math.inf) -> DataFrame:
+    """The ``k`` nearest points within ``radius`` (exclusive) of each query: (qid, qx, qy, qz, pid, x, y, z, d2, rank).
+
+    Queries and points are dealt into leaves. A leaf near a block of queries
+    bounds the distance of each one's last neighbour; queries of a block with
+    like bounds then meet the points that lie within them. Pairs live in NumPy,
+    a block at a time: only queries, points and results are written or shuffled.
+    Of points in one place the ``k`` with the smallest ids are enough.
     """
-    clean = lambda d: d.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z")))
-    left = clean(queries).select("qid", *[F.col(c).alias(f"q{c}") for c in _AXES])
-    if not left.where(" OR ".join(f"abs(q{c}) = double('infinity')" for c in _AXES)).isEmpty():
-        raise ValueError("points or queries have infinite coordinates")
-    cells = Cells.over(clean(points))
-    if cells is None or k < 1:
-        return queries.sparkSession.createDataFrame([], "qid long, pid long, d2 double, rank int")
-    ends, mine = None, Window.partitionBy("qid")
-    sure = mine.orderBy("far", "level", "cell").rowsBetween(Window.unboundedPreceding, 0)
-    frontier = left.withColumn("up", F.lit(0).cast("long"))
-    for level, table in enumerate(cells.tables, 1):
-        table = table.select("cell", F.col("parent").alias("up"), "n", "leaf")
-        near, far = cells.reach(level)
-        met = frontier.join(F.broadcast(table) if level <= COARSE else table, "up").withColumns({"near": near, "far": far, "level": F.lit(level)})
-        rows = met.select("qid", "qx", "qy", "qz", "level", "cell", "n", "leaf", "near", "far")
-        rows = rows if ends is None else rows.unionByName(ends)
-        bound = F.min(F.when(F.col("held") >= k, F.col("far"))).over(mine)
-        rows = rows.withColumn("held", F.sum("n").over(sure)).withColumn("bound", bound).where("bound IS NULL OR near <= bound").drop("held", "bound")
-        rows = settle(rows, "frontier")  # it is read twice below
-        ends = rows.where("leaf")
-        frontier = rows.where("NOT leaf").select("qid", "qx", "qy", "qz", F.col("cell").alias("up"))
-    pairs = ends.select("qid", "qx", "qy", "qz", "level", "cell").join(cells.points, ["level", "cell"])
-    d = sub(vec("x", "y", "z"), vec("qx", "qy", "qz"))
-    rank = F.row_number().over(mine.orderBy("d2", "pid"))
-    return pairs.select("qid", "pid", dot(d, d).alias("d2")).withColumn("rank", rank).where(F.col("rank") <= k)
+    clean = lambda d, key: d.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in _AXES])
+    alike = F.row_number().over(Window.partitionBy(*_AXES).orderBy("id"))
+    asked = Packed.of(settle(clean(queries, "qid"), "queries"), min(SPLIT, max(1, HELD // max(1, k))), "queries")
+    known = Packed.of(settle(clean(points, "pid").withColumn("alike", alike).where(F.col("alike") <= k).drop("alike"), "points"), max(SPLIT, k), "points")
+    if asked is None or known is None or k < 1:
+        return queries.sparkSession.createDataFrame([], _FOUND)
+    limit = radius * radius
+    rows = asked.rows.select(F.col("leaf").alias("block"), "id", *_AXES, F.lit(limit).alias("r2"))
+    home = known.homes(rows.groupBy("block").agg(*_box(*_AXES, to="q")))
+    near = known.rows.join(home, "leaf").select("block", "id", *_AXES)
+    rows = _together(rows, near).mapInArrow(_bounds(k), "block long, id long, x double, y double, z double, r2 double")
+    like = F.greatest(F.least(F.coalesce(F.floor(F.log2(F.least("r2", F.lit(1e300))) / 4), F.lit(-128)), F.lit(127)), F.lit(-128))  # bounds within a factor of 16
+    rows = settle(rows.withColumn("block", F.col("block") * 256 + like + 128), "bounds")
+    near = known.within(rows.groupBy("block").agg(*_box(*_AXES, to="q"), F.max("r2").alias("r2")))
+    return _together(rows, near).mapInArrow(_found(k), _FOUND).where(F.col("d2") < limit if math.isfinite(radius) else F.lit(True))
+
+
+def _together(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """Queries and points of each block in one task, queries first."""
+    rows = queries.withColumn("asked", F.lit(0)).unionByName(points.withColumns({"asked": F.lit(1), "r2": F.lit(0.0)}))
+    return rows.repartition("block").sortWithinPartitions("block", "asked")
 
 
 def radius_top(queries: DataFrame, points: DataFrame, radius: float, most: int) -> DataFrame:
-    """Up to ``most`` nearest points within ``radius`` of each query, ranked, ties by ``pid``."""
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))
-    return near_pairs(queries, points, radius).withColumn("rank", rank).where(F.col("rank") <= most)
+    """Up to ``most`` nearest points within ``radius`` (exclusive) of each query, ranked, ties by ``pid``: (qid, qx, qy, qz, pid, x, y, z, d2, rank).
+
+    Pairs within the radius are never listed, as there may be many more than ``most``.
+    """
+    finite = lambda d: d.where(" AND ".join(f"abs({c}) < double('infinity')" for c in _AXES))
+    return _ranked_in_blocks(finite(queries), finite(points), most, radius)
 
 
 def radius_counts(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
