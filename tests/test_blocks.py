@@ -75,3 +75,17 @@ def test_normals_do_not_list_all_pairs_within_the_radius(spark):
     for r in found[::100]:
         near = at[np.argsort(((at - at[r.pid]) ** 2).sum(axis=1), kind="stable")[1:16]]
         assert r.n == 15 and abs(abs(np.linalg.eigh(np.cov(near.T))[1][:, 0] @ (r.nx, r.ny, r.nz)) - 1) < 1e-6
+
+
+def test_the_nearest_within_a_radius_do_not_list_all_pairs_within_it(spark):
+    points = cloud(2, 1500)
+    found, most = most_rows(spark, lambda: spatial.radius_top(frame(spark, points, "qid"), frame(spark, points, "pid"), 2.0, 8).collect())
+    assert most < 60 * len(points)  # 1,500 for each point before
+    assert len(found) == 8 * len(points) and {(r.qid, r.pid, r.d2, r["rank"]) for r in found if r.qid < 20} == brute(points[:20], points, 8, 2.0)
+
+
+def test_copies_meet_only_as_many_as_are_asked_for(spark):
+    points = cloud(3, 40) * 30
+    found, most = most_rows(spark, lambda: spatial.radius_top(frame(spark, points, "qid"), frame(spark, points, "pid"), 2.0, 5).collect())
+    assert most < 60 * len(points)
+    assert {(r.qid, r.pid, r["rank"]) for r in found} == {(q, q % 40 + 40 * i, i + 1) for q in range(len(points)) for i in range(5)}
