@@ -89,3 +89,19 @@ def test_copies_meet_only_as_many_as_are_asked_for(spark):
     found, most = most_rows(spark, lambda: spatial.radius_top(frame(spark, points, "qid"), frame(spark, points, "pid"), 2.0, 5).collect())
     assert most < 60 * len(points)
     assert {(r.qid, r.pid, r["rank"]) for r in found} == {(q, q % 40 + 40 * i, i + 1) for q in range(len(points)) for i in range(5)}
+
+
+def test_votes_of_the_sampler_keep_few_rows_a_sample(spark):
+    points, samples = cloud(4, 2500), cloud(5, 2500)
+    surface = spark.createDataFrame([(i, *p, *p) for i, p in enumerate(points)], "pid long, x double, y double, z double, nx double, ny double, nz double")
+    found, most = most_rows(spark, lambda: spatial.vote_sdf(frame(spark, samples, "qid"), surface, 3, 0.06).collect())
+    assert most < 60 * len(samples)  # cells to descend through were some hundreds for each sample before
+    assert len(found) == len(samples)
+    for r in found[::50]:
+        near = sorted((squared(samples[r.qid], p), i) for i, p in enumerate(points))[:3]
+        sides = [sum(n * (s - p) for n, s, p in zip(points[i], samples[r.qid], points[i], strict=True)) for _, i in near]
+        if len({s > 0 for s in sides}) == 2:
+            assert math.isnan(r.sdf)
+        else:
+            size = math.sqrt(near[0][0])
+            assert r.sdf == pytest.approx((abs(sides[0]) if size < 0.06 else size) * (1 if sides[0] > 0 else -1))
